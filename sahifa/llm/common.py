@@ -129,11 +129,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_bounds(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that aren't ASCII white space; none goes across one of breaks."""
+def word_bounds(raw: np.ndarray, breaks: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that aren't between words; no run goes across one of breaks."""
     solid = np.empty(len(raw) + 2, bool)
     solid[0] = solid[-1] = False
-    np.logical_not(_SPACE[raw], out=solid[1:-1])
+    np.logical_not(between[raw], out=solid[1:-1])
     change = solid[1:] != solid[:-1]
     starts, ends = np.flatnonzero(change & solid[1:]), np.flatnonzero(change & solid[:-1])
     inner = breaks[(breaks > 0) & (breaks < len(raw))]

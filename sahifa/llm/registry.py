@@ -7,6 +7,9 @@ from importlib import import_module
 #: Query name -> module; each module has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 OPERATORS = {
     "op5_bpe_encode": "bpe",
+    "op6_quality_crf": "quality",
+    "op9_simhash_golay": "simhash",
+    "op10_mix_sources": "mixing",
 }
 
 
