@@ -7,6 +7,9 @@ next level, at most FAN_IN at a time, until one is left. Each document is then a
 short one is read without its neighbours, and has a place in the offset index: the shard (what one task wrote),
 its offset and its length there. Every row carries the SHA-256 of the dictionary, which decompression checks.
 
+The ids are those of operator 5's vocabulary; tiktoken, which gives the same ones, makes them here, as they are
+only what is stored.
+
 Null text has null ids and a null frame of length 0; empty text has a frame of no ids. Rows with the same doc_id
 are rows of their own, null doc_ids stay. An empty table has an empty dictionary: frames then need none.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import VOCABULARY, encoder, read_ranks
+from .bpe import PATTERN, VOCABULARY, read_ranks
 
 DICTIONARY_BYTES, PART_BYTES = 64 << 10, 16 << 10
 SLICE_BYTES = 8 << 20
@@ -35,6 +38,18 @@ def width(vocabulary: str = VOCABULARY) -> str:
     return "<u2" if max(read_ranks(vocabulary).values()) < 1 << 16 else "<u4"
 
 
+_kept: dict[str, object] = {}
+
+
+def tokenizer(path: str = VOCABULARY):
+    """The vocabulary's tokenizer, loaded once in each process."""
+    if path not in _kept:
+        import tiktoken
+
+        _kept[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return _kept[path]
+
+
 def train(samples: list[bytes], most: int) -> bytes:
     """A dictionary of at most `most` bytes; where there is too little to train on, the samples themselves."""
     import zstandard
@@ -54,16 +69,11 @@ def serialised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     kind = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        encode = tokenizer(vocabulary).encode_to_numpy
         for batch in common.text_slices(batches, "text"):
-            column = batch.column(1)
-            ids, offsets = enc.encode_all(column.to_pylist())
-            raw = ids.astype(kind)
-            null = np.asarray(column.is_null())
-            at = pa.py_buffer((offsets * raw.itemsize).astype(np.int32).tobytes())
-            known = pa.array(~null).buffers()[1] if null.any() else None
-            data = pa.Array.from_buffers(pa.binary(), len(column), [known, at, pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), data, pa.array(np.diff(offsets).astype(np.int64), mask=null)], names=["doc_id", "ids", "n_tokens"])
+            ids = [None if x is None else encode(x, disallowed_special=()).astype(kind).tobytes() for x in batch.column(1).to_pylist()]
+            count = [None if x is None else len(x) // np.dtype(kind).itemsize for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(count, pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
