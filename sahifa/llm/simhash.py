@@ -199,11 +199,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.where("id <> root").distinct().select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, sent_keys: int = common.SENT_KEYS) -> DataFrame:
     """docs without the documents that another one stands for."""
     scratch = common.Scratch(docs.sparkSession, "simhash")
     gone = scratch.write(near_duplicates(docs, doc_id, text, most_bits, scratch).select(F.col("doc_id").alias("__gone")), "gone")
     scratch.drop("prints", "firsts", "roots", "pairs")
+    # Ids are sent to the texts as long as they are few enough, so that the texts aren't shuffled.
+    if gone.count() <= sent_keys:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
 
 

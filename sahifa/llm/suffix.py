@@ -204,7 +204,7 @@ class Stretches:
         return one == other or one.split() == other.split()
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, scratch: common.Scratch | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, scratch: common.Scratch | None = None, sent_keys: int = common.SENT_KEYS) -> DataFrame:
     """(row, doc_id, start, end, kept_in): words start..end-1 of a document are passages that kept_in has before."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -328,6 +328,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     found = rows.select("row", "text").mapInArrow(anchors, "h long, row long, pos int")
     found = scratch.write(found.repartition(n, "h").mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_list("pos").alias("at")), "anchors")
+    # Only texts with a repeated anchor are shuffled, as long as their keys are few enough to be sent to the others.
+    if found.count() <= sent_keys:
+        rows = rows.join(F.broadcast(found.select("row")), "row", "left_semi")
     texts = rows.join(found, "row").select("row", "doc_id", "text", "at").mapInArrow(stretches, "h long, row long, doc_id long, start int, lead int, count int, text binary")
     marked = scratch.write(texts.repartition(n, "h").mapInArrow(marks, "row long, doc_id long, start int, end int, kept_in long"), "marks")
     # Marks that overlap or touch are one.
@@ -337,16 +340,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return runs.groupBy("row", "doc_id", "kept_in", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("row", "doc_id", "start", "end", "kept_in")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, length: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, length: str | None = None, sent_keys: int = common.SENT_KEYS) -> DataFrame:
     """docs with the repeated passages cut from their texts; documents of which nothing is left go.
 
     length: names a column that has the text's characters, which are counted anew.
     """
     scratch = common.Scratch(docs.sparkSession, "suffix")
-    found = repeated_passages(docs, doc_id, text, words, gram, scratch)
+    found = repeated_passages(docs, doc_id, text, words, gram, scratch, sent_keys)
     cuts = scratch.write(found.groupBy("row").agg(F.collect_list("start").alias("__starts"), F.collect_list("end").alias("__ends")), "cuts")
     cuts = cuts.withColumnRenamed("row", "__row")
     scratch.drop("anchors", "marks")
+    # A cut is a few numbers: as long as there are few enough, they go to the texts and not the texts to them.
+    if cuts.agg(F.coalesce(F.sum(2 + F.size("__starts")), F.lit(0))).first()[0] <= sent_keys:
+        cuts = F.broadcast(cuts)
     names = docs.columns
     schema = docs.schema
 
