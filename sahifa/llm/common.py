@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: A task takes about this many bytes of text at a time, so that its memory doesn't follow the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Keys of 8 bytes are sent to every executor up to this number (about 64 MB); beyond it, tables are joined by shuffles.
 SENT_KEYS = 4_000_000
