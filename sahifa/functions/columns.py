@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,10 +55,15 @@ def normalize(text: Column, forms: Forms = RELAXED, lower: bool = False) -> Colu
     return F.translate(text, source, to) if source else text
 
 
-def normalize_text(text: str, forms: Forms = RELAXED, lower: bool = False) -> str:
-    """The same on the driver, for query texts."""
+@lru_cache
+def translation(forms: Forms, lower: bool) -> dict[int, str | None]:
     source, to = forms.mapping(lower)
-    return text.translate(str.maketrans({c: (to[i] if i < len(to) else None) for i, c in enumerate(source)}))
+    return str.maketrans({c: (to[i] if i < len(to) else None) for i, c in enumerate(source)})
+
+
+def normalize_text(text: str, forms: Forms = RELAXED, lower: bool = False) -> str:
+    """The same in Python, on one text."""
+    return text.translate(translation(forms, lower))
 
 
 def _sensitive(forms: Forms) -> str:
@@ -141,7 +147,7 @@ def _int4(n: Column) -> Column:
     """Lossy code of a non-negative long: three bits after the leading one, and the shift."""
     bits = F.length(F.bin(n))
     shift = bits - 4
-    code = F.shiftright(n.cast("long"), F.greatest(shift, F.lit(0))).bitwiseAND(F.lit(7)).bitwiseOR(F.shiftleft((shift + 1).cast("long"), 3))
+    code = F.call_function("shiftright", n.cast("long"), F.greatest(shift, F.lit(0))).bitwiseAND(F.lit(7)).bitwiseOR(F.shiftleft((shift + 1).cast("long"), 3))
     return F.when(n < 8, n.cast("long")).otherwise(code)
 
 
@@ -161,8 +167,7 @@ def byte4_to_int(code: Column) -> Column:
     rest = (code - FREE_VALUES).cast("long")
     shift = (F.shiftright(rest, 3) - 1).cast("int")
     low = rest.bitwiseAND(F.lit(7))
-    # A shift by a column: multiply by a power of two.
-    wide = (low.bitwiseOR(F.lit(8)) * F.pow(F.lit(2.0), F.greatest(shift, F.lit(0))).cast("long")).cast("long")
+    wide = F.call_function("shiftleft", low.bitwiseOR(F.lit(8)), F.greatest(shift, F.lit(0)))
     return F.when(code < FREE_VALUES, code.cast("long")).otherwise(FREE_VALUES + F.when(shift < 0, low).otherwise(wide))
 
 
@@ -190,10 +195,29 @@ def norm_inverse_cache(avgdl, k1: float = K1, b: float = B) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: norm_inverse(byte4_to_int(i), avgdl, k1, b))
 
 
+def norm_inverse_values(avgdl: float, k1: float = K1, b: float = B) -> list[float]:
+    """The same 256 values, worked out on the driver; the arrays are single precision throughout."""
+    import numpy as np
+
+    k1, b, avgdl = map(np.float32, (k1, b, avgdl))
+    if avgdl <= 0:
+        return [0.0] * 256
+    code = np.arange(256) - FREE_VALUES
+    length = np.where(code < 8, code + FREE_VALUES, FREE_VALUES + ((code & 7) | 8) * 2.0 ** np.maximum((code >> 3) - 1, 0)).astype(np.float32)
+    under = k1 * ((np.float32(1) - b) + b * length / avgdl)
+    with np.errstate(divide="ignore"):
+        return np.where(under <= 0, np.float32(0), np.float32(1) / under).astype(np.float32).tolist()
+
+
 def term_score(weight, tf, length: Column, avgdl, k1: float = K1, b: float = B) -> Column:
     """BM25 of a term: w - w / (1 + tf * norm_inverse); 0 where any of weight, tf, k1, avgdl isn't positive (weight: isn't 0)."""
     w, tf = f32(weight), f32(tf)
-    inner = f32_add(1.0, f32_mul(tf, norm_inverse(quantised(length), avgdl, k1, b)))
+    if isinstance(avgdl, Column):
+        inverse = norm_inverse(quantised(length), avgdl, k1, b)
+    else:
+        table = F.array(*[F.lit(x).cast("float") for x in norm_inverse_values(avgdl, k1, b)])
+        inverse = F.element_at(table, int_to_byte4(F.greatest(length, F.lit(0))) + 1)
+    inner = f32_add(1.0, f32_mul(tf, inverse))
     score = (w - f32_div(w, inner)).cast("float")
     zero = F.lit(0.0).cast("float")
     return F.when((w == 0) | (tf <= 0) | (f32(k1) <= 0) | (f32(avgdl) <= 0) | (inner <= 0), zero).otherwise(score)
@@ -231,30 +255,33 @@ def snap_window(text: Column, start: Column, end: Column, scan: int = 12) -> Col
     right = F.when(after.rlike(f"(?s)^[^{boundary[1:]}*{boundary}"), e + F.length(head)).otherwise(e)
     bad = right <= left
     out_start, out_end = F.when(bad, s).otherwise(left), F.when(bad, F.greatest(e, s)).otherwise(right)
-    zero = F.lit(0)
-    return F.struct(F.coalesce(out_start, zero).cast("int").alias("start"), F.coalesce(out_end, zero).cast("int").alias("end"))
+    return F.struct(*[F.when(text.isNull(), 0).otherwise(x).cast("int").alias(name) for x, name in ((out_start, "start"), (out_end, "end"))])
 
 
 def phrase_frequency(places: list[Column], gaps: list[int], slop: int) -> Column:
     """How many chains of strictly growing places, one of each list, have none more than `slop` beyond its gap from the first."""
 
+    zero = F.lit(0).cast("long")
+
+    def ways(prior: Column):
+        def step(x: Column) -> Column:
+            before = F.filter(prior, lambda p: p["at"] < x)
+            return F.struct(x.alias("at"), F.aggregate(before, zero, lambda total, p: total + p["ways"]).alias("ways"))
+
+        return step
+
+    def within(first: Column, gap: int):
+        return lambda x: (x > first) & (x - first <= gap + slop)
+
     def chains(first: Column) -> Column:
-        one = F.array(F.struct(first.alias("at"), F.lit(1).cast("long").alias("ways")))
-        state = one
+        if len(places) == 2:
+            return F.size(F.filter(places[1], within(first, gaps[1]))).cast("long")
+        state = F.array(F.struct(first.alias("at"), F.lit(1).cast("long").alias("ways")))
         for at, gap in zip(places[1:], gaps[1:]):
-            prior = state
-            near = F.filter(at, lambda x, gap=gap: (x > first) & (x - first <= gap + slop))
-            state = F.transform(
-                near,
-                lambda x, prior=prior: F.struct(
-                    x.alias("at"),
-                    F.aggregate(F.filter(prior, lambda p: p["at"] < x), F.lit(0).cast("long"), lambda total, p: total + p["ways"]).alias("ways"),
-                ),
-            )
-        return F.aggregate(state, F.lit(0).cast("long"), lambda total, p: total + p["ways"])
-
-    total = F.aggregate(places[0], F.lit(0).cast("long"), lambda total, first: total + chains(first))
-    return F.coalesce(total, F.lit(0).cast("long"))
+            state = F.transform(F.filter(at, within(first, gap)), ways(state))
+        return F.aggregate(state, zero, lambda total, p: total + p["ways"])
+
+    return F.coalesce(F.aggregate(places[0], zero, lambda total, first: total + chains(first)), zero)
 
 
 def near_places(places: list[Column], slop: int) -> list[Column]:
