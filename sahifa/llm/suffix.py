@@ -97,7 +97,10 @@ class Stretches:
         self.raw, starts = common.string_bytes(texts)
         self.first, self.last = common.word_bounds(self.raw, starts[1:-1])
         self.begin = np.searchsorted(self.first, starts)
-        self.hash = common.word_hashes(self.raw, self.first, self.last)
+        # Hashes need eight bytes for each byte of text, so the text is taken a slice at a time.
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, np.arange(0, len(self.raw), common.SLICE_BYTES), side="right") - 1, [len(starts) - 1]]))
+        hashes = [common.word_hashes(self.raw[starts[i] : starts[j]], self.first[(a := self.begin[i]) : (b := self.begin[j])] - starts[i], self.last[a:b] - starts[i]) for i, j in zip(cuts[:-1], cuts[1:])]
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
         self.sums = np.zeros(len(self.hash) + 1, np.uint64)
         np.cumsum(self.hash * common.kept_powers(common.BASE, len(self.hash)), out=self.sums[1:])
         self.inverse = common.kept_powers(common.BASE_INVERSE, len(self.hash) + 1)
