@@ -166,7 +166,7 @@ def write_shards(rows: DataFrame, folder: str) -> DataFrame:
                 if shard != open_at:
                     if out is not None:
                         out.close()
-                    open_at, out = shard, at.open_output_stream(f"{root}/shard-{shard:06d}.ids")
+                    open_at, out = shard, at.open_output_stream(f"{root}/shard-{shard:06d}.ids", compression=None)
                 out.write(frame)
         if out is not None:
             out.close()

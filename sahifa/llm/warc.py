@@ -159,7 +159,7 @@ def write_bundles(frames: DataFrame, folder: str) -> None:
                 if bundle != open_at:
                     if out is not None:
                         out.close()
-                    open_at, out = bundle, at.open_output_stream(f"{root}/bundle-{bundle:06d}.warc.zst")
+                    open_at, out = bundle, at.open_output_stream(f"{root}/bundle-{bundle:06d}.warc.zst", compression=None)
                 out.write(data)
         if out is not None:
             out.close()
