@@ -114,8 +114,8 @@ def cuts(docs: DataFrame, weights: dict | None, total_tokens: int | None, doc_id
 
 def _copies(key: F.Column, ident: F.Column) -> F.Column:
     ident = F.coalesce(ident, F.lit(-(2**63)))
-    more = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & (ident <= F.col("cut_id")))
-    return F.col("epochs") + F.when(more, 1).otherwise(0)
+    more = (key < F.col("__cut_key")) | ((key == F.col("__cut_key")) & (ident <= F.col("__cut_id")))
+    return F.col("__epochs") + F.when(more, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, epoch: str | None = None, sent_sources: int = SENT_SOURCES) -> DataFrame:
@@ -123,7 +123,8 @@ def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None =
     scratch = common.Scratch(docs.sparkSession, "mix")
     plan, rows = cuts(docs, weights, total_tokens, doc_id, text, source, seed, scratch)
     ident, of = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{source}`").cast("string")
-    renamed = plan.withColumnRenamed("source", "__source")
+    # Names of their own, so that docs may have columns of any name.
+    renamed = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
     if plan.count() <= sent_sources:
         out = docs.join(F.broadcast(renamed), of.eqNullSafe(F.col("__source"))).withColumn("__copies", _copies(key_of(doc_id, seed), ident))
     else:
