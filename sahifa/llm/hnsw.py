@@ -189,17 +189,14 @@ class Graph:
         angle = min(cosine + 1e-4, 1.0)
         probes = (angle * self.x[at] + np.sqrt(1 - angle * angle) * side).astype(np.float32)
         truth = probes @ self.x.T >= cosine
-        while True:
+        while self.beam:
             ids, sims = self.search(probes, self.beam)
             hit = (ids >= 0) & (sims >= cosine)
             # A full beam is done again by brute force, so nothing of it is missed.
             found = np.where(hit.all(1), truth.sum(1), hit.sum(1))
             if found.sum() >= RECALL * truth.sum():
                 return
-            if self.beam >= n:
-                self.beam = 0
-                return
-            self.beam *= 2
+            self.beam = 0 if self.beam >= n else 2 * self.beam
 
     def near(self, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of q, row of x) of at least this cosine."""
