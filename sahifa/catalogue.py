@@ -22,7 +22,7 @@ from .plans import syntax
 from .plans.compiler import Compiler, SearchOptions
 from .sources.readers import letters_only, table_documents
 from .sources.sinks import latest, upsert
-from .sources.storage import fresh_path
+from .sources.storage import fresh_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,28 +392,28 @@ def snap_window(spark, folder):
 @query("snippets")
 def snippets(spark, folder):
     """Every document's best snippet for a query."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
     found = docs.select("doc_id", udfs.build_snippet(F.col("text"), F.lit('"of the" OR that')).alias("s"))
     return found.select("doc_id", "s.*")
 
 
 @query("normalized_spans")
 def normalized_spans(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
     each = docs.select("doc_id", F.posexplode(udfs.normalized_spans(F.col("text"), F.lit("that"), F.lit(8))).alias("n", "s"))
     return each.select("doc_id", "n", "s.start", F.col("s.end").alias("stop"))
 
 
 @query("analyzed_spans")
 def analyzed_spans(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
     each = docs.select("doc_id", F.posexplode(udfs.analyzed_spans(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), F.lit(8))).alias("n", "s"))
     return each.select("doc_id", "n", "s.start", F.col("s.end").alias("stop"))
 
 
 @query("highlight_all")
 def highlight_all(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
     text = udfs.highlight_normalized(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), F.lit("<b>"), F.lit("</b>"), F.lit(8))
     return docs.select("doc_id", text.alias("marked")).where("marked is not null")
 

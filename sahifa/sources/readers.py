@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import spread
+
 
 def jsonl_documents(spark: SparkSession, path: str) -> DataFrame:
     """Lines {doc_id, page, title}."""
@@ -46,9 +48,9 @@ def letters_only(text: Column) -> Column:
 def table_documents(spark: SparkSession, folder: str, plain: bool = False) -> DataFrame:
     """The tables documents (pages of books, a book for each source) and pages (titles) as docs."""
     shape = letters_only if plain else (lambda c: c)
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
     page = docs.select(F.lit("page").alias("field"), F.col("doc_id").alias("rowid"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("book_id"), F.col("doc_id").alias("item_id"), shape(F.col("text")).alias("text"))
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{folder}/pages.parquet"))
     text = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     title = pages.select(F.lit("title").alias("field"), F.col("page_id").alias("rowid"), (F.col("page_id") % 10).alias("book_id"), F.col("page_id").alias("item_id"), shape(text).alias("text"))
     return page.unionByName(title)
