@@ -76,6 +76,12 @@ class Engine:
         hits = hits.orderBy(*order).limit(limit)
         return SearchResult({f: text for f, (text, _) in found.items()}, hits)
 
+    def execute_json(self, q: str, field: str = "both", limit: int = 20, options_json: str | None = None) -> str:
+        """A search as one call: {compiled, hits, scores_are_f32}; options as JSON with SearchOptions' names."""
+        given = json.loads(options_json) if options_json else {}
+        result = self.search(q, field, limit, replace(self.options, **given))
+        return json.dumps({"compiled": result.compiled, "hits": result.rows(), "scores_are_f32": True}, ensure_ascii=False)
+
     def compile(self, q: str, field: str = "both", options: SearchOptions | None = None) -> dict[str, str]:
         """The match expression of each field, as a search would run it."""
         options = options or self.options

@@ -249,6 +249,16 @@ def query_function(name: str):
     return one
 
 
+class Tokens:
+    """The table function ar_tokens(text): a row for each token."""
+
+    def eval(self, text: str):
+        yield from (tuple(t) for t in analyzer().tokens(text))
+
+
+TOKEN_ROW = "term: string, offset: int, position: int, start: int, end: int"
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Register every function with the session; gives their names."""
     ship(spark)
@@ -258,6 +268,7 @@ def register_all(spark: SparkSession) -> list[str]:
         spark.udf.register(name, F.udf(f, kind, useArrow=True))
     for name in QUERY_FUNCTIONS | QUERY_FIELD_FUNCTIONS:
         spark.udf.register(name, F.udf(query_function(name), "string", useArrow=True))
+    spark.udtf.register("ar_tokens", F.udtf(Tokens, returnType=TOKEN_ROW))
     return [*SQL_FUNCTIONS, *ROW_FUNCTIONS, *QUERY_FUNCTIONS, *QUERY_FIELD_FUNCTIONS]
 
 

@@ -166,6 +166,16 @@ class Index:
         rows = self.vocab(name).where(columns.glob_match(F.col("term"), pattern)).select("term").orderBy("term").limit(most)
         return [r.term for r in rows.collect()]
 
+    def expand_substring(self, name: str, pattern: str, most: int) -> list[str]:
+        """The first `most` terms that the pattern occurs in."""
+        rows = self.vocab(name).where(columns.wildcard_match(F.col("term"), pattern)).select("term").orderBy("term").limit(most)
+        return [r.term for r in rows.collect()]
+
+    def expand_edits(self, name: str, term: str, edits: int, most: int) -> list[str]:
+        """The first `most` terms of the whole lexicon within so many edits."""
+        near = self.vocab(name).where(columns.levenshtein_capped(F.lit(term), F.col("term"), edits) <= edits)
+        return [r.term for r in near.select("term").orderBy("term").limit(most).collect()] if term else []
+
     def expand_fuzzy(self, name: str, term: str, edits: int, most: int) -> list[str]:
         """Of the first max(512, 8 * most) terms of about this length, the first `most` within so many edits."""
         if not term:

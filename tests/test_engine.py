@@ -14,7 +14,7 @@ from sahifa.functions.analyzer import AnalyzerOptions, analyze
 from sahifa.operators.index import DOC_SCHEMA, build_index
 from sahifa.plans import syntax
 from sahifa.plans.syntax import QueryError
-from sahifa.sources import readers, sinks
+from sahifa.sources import corpus, readers, sinks
 from sahifa.streaming import ingest
 
 PAGES = {
@@ -206,6 +206,33 @@ def test_sql_functions(spark):
     assert one("ar_f32_add(0.1, 0.2)") == pytest.approx(0.3) and one("ar_lucene_term_score(0f, 1f, 5, 1.2f, 0.75f, 9f)") == 0
 
 
+def test_table_function(spark):
+    udfs.register_all(spark)
+    rows = spark.sql("SELECT d.id, t.term, t.position FROM VALUES (1, 'The المنصور في box'), (2, NULL) AS d(id, text), LATERAL ar_tokens(d.text) t").collect()
+    assert [(r.id, r.term, r.position) for r in rows] == [(1, "the", 0), (1, "منصور", 1), (1, "box", 3)]
+
+
+def test_native_profile_and_one_call(engine):
+    native = SearchOptions(profile="native")
+    assert engine.compile("ص?ر", "page", native)["page"] == '(("مصور" OR "منصور"))' and engine.compile("ص?ر", "page")["page"] == '("__nohit__")'
+    assert sorted(r["item_id"] for r in engine.search("المنصورة~1", "page", options=native).rows()) == [11, 12]
+    found = json.loads(engine.execute_json("منصور", "page", 5, '{"allow_fuzzy": false}'))
+    assert found["scores_are_f32"] and [h["item_id"] for h in found["hits"]] == [11]
+
+
+def test_canonical_corpus(spark, tmp_path):
+    item = (0, "", None)
+    pages = spark.createDataFrame([(1, 7, 70, 1, *item), (2, 7, 71, 2, *item)], corpus.PAGE_MAP_SCHEMA)
+    titles = spark.createDataFrame([(1, 7, 1, 1, None, *item), (2, 7, 2, 2, 1, *item), (3, 7, 3, 3, 2, *item), (4, 8, 4, 1, 99, *item)], corpus.TITLE_MAP_SCHEMA)
+    bodies = spark.createDataFrame([(1, "a fox"), (2, "a box")], corpus.PAGE_STORE_SCHEMA)
+    names = spark.createDataFrame([(1, "fox"), (2, "x"), (3, "y"), (4, "z")], corpus.TITLE_STORE_SCHEMA)
+    found = Engine(build_index(corpus.docs_of(pages, bodies, titles, names), str(tmp_path / "i"))).search("fox", "both").rows()
+    assert {(r["field"], r["book_id"], r["item_id"]) for r in found} == {("page", 7, 70), ("title", 7, 1)}
+    assert {r.rowid: r.path for r in corpus.title_paths(titles).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [4]}
+    corpus.search_views(pages, titles)
+    assert "source_sha1" not in spark.table("v_page_search_docs").columns
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"doc_id":"d1","page":"p","title":"t"}\n{"doc_id":"d2","page":"q"}\n')
     assert {(r.field, r.rowid, r.text) for r in readers.from_jsonl(readers.jsonl_documents(spark, str(tmp_path / "d.jsonl"))).collect()} == {("page", 1, "p"), ("title", 1, "t"), ("page", 2, "q")}
