@@ -331,8 +331,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     found = rows.select("row", "text").mapInArrow(anchors, "h long, row long, pos int")
     found = scratch.write(found.repartition(n, "h").mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_list("pos").alias("at")), "anchors")
-    # Only texts with a repeated anchor are shuffled, as long as their keys are few enough to be sent to the others.
-    if found.count() <= sent_keys:
+    # The anchors' places go to the texts as long as they are small; then their rows' keys, so that only texts with
+    # a repeated anchor are shuffled; beyond that both sides are.
+    held, places = found.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if 24 * held + 4 * places <= 16 * sent_keys:
+        found = F.broadcast(found)
+    elif held <= sent_keys:
         rows = rows.join(F.broadcast(found.select("row")), "row", "left_semi")
     texts = rows.join(found, "row").select("row", "doc_id", "text", "at").mapInArrow(stretches, "h long, row long, doc_id long, start int, lead int, count int, text binary")
     marked = scratch.write(texts.repartition(n, "h").mapInArrow(marks, "row long, doc_id long, start int, end int, kept_in long"), "marks")
