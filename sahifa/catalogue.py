@@ -1,7 +1,8 @@
 """The registered queries, over whole tables, and DuckDB SQL for those that SQL can express.
 
-Queries that SQL checks read the tables' ASCII letters only: on those the analyser splits at spaces, as SQL can. The
-index of a folder is built once in a session. Hits aren't limited, except where the top k is what is asked for.
+Queries of an index that SQL checks read the tables' ASCII letters only: on those the analyser splits at spaces, as SQL
+can. Each has a twin whole_NAME over the texts as they are, which SQL can't follow. An index is built once in a
+session. Hits aren't limited, except where the top k is what is asked for.
 """
 
 from __future__ import annotations
@@ -48,6 +49,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def index_query(name: str, sql: str):
+    """Registers f(spark, folder, plain) twice: on letters only, with the SQL, and as whole_NAME on the texts as they are."""
+
+    def add(f: Callable[[SparkSession, str, bool], DataFrame]):
+        query(name, sql)(lambda spark, folder: f(spark, folder, True))
+        query(f"whole_{name}")(lambda spark, folder: f(spark, folder, False))
+        return f
+
+    return add
+
+
 def _hits(df: DataFrame) -> DataFrame:
     return df.select("book_id", "item_id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
@@ -115,36 +127,36 @@ def _merged(join: str, left: str, right: str, a: float = 1, b: float = 1) -> str
 # Index tables
 
 
-@query("tokens_count", PAGE + " SELECT rowid, book_id, count(*) AS tokens FROM tok GROUP BY 1, 2")
-def tokens_count(spark, folder):
-    return corpus_index(spark, folder).table("row_lengths").where("field = 'page'").select("rowid", "book_id", F.col("len").alias("tokens"))
+@index_query("tokens_count", PAGE + " SELECT rowid, book_id, count(*) AS tokens FROM tok GROUP BY 1, 2")
+def tokens_count(spark, folder, plain):
+    return corpus_index(spark, folder, plain).table("row_lengths").where("field = 'page'").select("rowid", "book_id", F.col("len").alias("tokens"))
 
 
-@query("vocabulary", PAGE + " SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM tok GROUP BY 1")
-def vocabulary(spark, folder):
-    return corpus_index(spark, folder).vocab("page").select("term", "doc", "cnt")
+@index_query("vocabulary", PAGE + " SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM tok GROUP BY 1")
+def vocabulary(spark, folder, plain):
+    return corpus_index(spark, folder, plain).vocab("page").select("term", "doc", "cnt")
 
 
-@query("vocabulary_top", PAGE + " SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM tok GROUP BY 1 ORDER BY cnt DESC, term LIMIT 50")
-def vocabulary_top(spark, folder):
-    return vocabulary(spark, folder).orderBy(F.desc("cnt"), "term").limit(50)
+@index_query("vocabulary_top", PAGE + " SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM tok GROUP BY 1 ORDER BY cnt DESC, term LIMIT 50")
+def vocabulary_top(spark, folder, plain):
+    return vocabulary(spark, folder, plain).orderBy(F.desc("cnt"), "term").limit(50)
 
 
-@query("postings", PAGE + " SELECT term, rowid, count(*) AS tf, min(off) AS first_offset, max(off) AS last_offset, CAST(sum(off) AS BIGINT) AS offsets FROM tok GROUP BY 1, 2")
-def postings(spark, folder):
-    rows = corpus_index(spark, folder).postings("page")
+@index_query("postings", PAGE + " SELECT term, rowid, count(*) AS tf, min(off) AS first_offset, max(off) AS last_offset, CAST(sum(off) AS BIGINT) AS offsets FROM tok GROUP BY 1, 2")
+def postings(spark, folder, plain):
+    rows = corpus_index(spark, folder, plain).postings("page")
     total = F.aggregate("offsets", F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("term", "rowid", F.col("tf").cast("long").alias("tf"), F.array_min("offsets").cast("long").alias("first_offset"), F.array_max("offsets").cast("long").alias("last_offset"), total.alias("offsets"))
 
 
-@query("book_lengths", PAGE + " SELECT book_id, len FROM blen")
-def book_lengths(spark, folder):
-    return corpus_index(spark, folder).book_lengths("page").select("book_id", F.col("book_len").alias("len"))
+@index_query("book_lengths", PAGE + " SELECT book_id, len FROM blen")
+def book_lengths(spark, folder, plain):
+    return corpus_index(spark, folder, plain).book_lengths("page").select("book_id", F.col("book_len").alias("len"))
 
 
-@query("field_stats", PAGE + " SELECT 'page' AS field, n AS doc_count, (SELECT count(*) FROM documents) AS item_count, (SELECT count(*) FROM tok) AS tokens FROM st")
-def field_stats(spark, folder):
-    return corpus_index(spark, folder).table("stats").where("field = 'page'").select("field", "doc_count", "item_count", "tokens")
+@index_query("field_stats", PAGE + " SELECT 'page' AS field, n AS doc_count, (SELECT count(*) FROM documents) AS item_count, (SELECT count(*) FROM tok) AS tokens FROM st")
+def field_stats(spark, folder, plain):
+    return corpus_index(spark, folder, plain).table("stats").where("field = 'page'").select("field", "doc_count", "item_count", "tokens")
 
 
 @query("analyze_full")
@@ -199,9 +211,9 @@ def smallfloat_roundtrip(spark, folder):
     return docs.select("n_chars", columns.byte4_to_int(columns.int_to_byte4(F.col("n_chars"))).alias("kept"))
 
 
-@query("idf_f32", PAGE + f", v AS (SELECT term, count(DISTINCT rowid) AS df FROM tok GROUP BY 1) SELECT term, round(CAST({_idf('n', 'df')} AS DOUBLE), 6) AS idf FROM v, st")
-def idf_f32(spark, folder):
-    index = corpus_index(spark, folder)
+@index_query("idf_f32", PAGE + f", v AS (SELECT term, count(DISTINCT rowid) AS df FROM tok GROUP BY 1) SELECT term, round(CAST({_idf('n', 'df')} AS DOUBLE), 6) AS idf FROM v, st")
+def idf_f32(spark, folder, plain):
+    index = corpus_index(spark, folder, plain)
     return index.vocab("page").select("term", F.round(columns.idf(index.field_stats("page").doc_count, F.col("doc")).cast("double"), 6).alias("idf"))
 
 
@@ -219,9 +231,9 @@ def norm_cache(spark, folder):
 
 
 def _expansion(name: str, where: str, pattern: str) -> None:
-    @query(name, PAGE + f" SELECT DISTINCT term FROM tok WHERE {where} ORDER BY term LIMIT 256")
-    def run(spark, folder):
-        found = corpus_index(spark, folder).vocab("page").where(columns.glob_match(F.col("term"), pattern)).select("term")
+    @index_query(name, PAGE + f" SELECT DISTINCT term FROM tok WHERE {where} ORDER BY term LIMIT 256")
+    def run(spark, folder, plain):
+        found = corpus_index(spark, folder, plain).vocab("page").where(columns.glob_match(F.col("term"), pattern)).select("term")
         return found.orderBy("term").limit(256)
 
 
@@ -230,70 +242,70 @@ _expansion("suffix_terms", "term LIKE '%ation'", "*ation")
 _expansion("wildcard_terms", "term GLOB 't?e*er'", "t?e*er")
 
 
-@query("fuzzy_terms", PAGE + ", near AS (SELECT DISTINCT term FROM tok WHERE length(term) BETWEEN 3 AND 7 ORDER BY term LIMIT 1024) SELECT term FROM near WHERE levenshtein(term, 'thing') <= 2 ORDER BY term LIMIT 128")
-def fuzzy_terms(spark, folder):
-    index = corpus_index(spark, folder)
+@index_query("fuzzy_terms", PAGE + ", near AS (SELECT DISTINCT term FROM tok WHERE length(term) BETWEEN 3 AND 7 ORDER BY term LIMIT 1024) SELECT term FROM near WHERE levenshtein(term, 'thing') <= 2 ORDER BY term LIMIT 128")
+def fuzzy_terms(spark, folder, plain):
+    index = corpus_index(spark, folder, plain)
     return spark.createDataFrame([(t,) for t in index.expand_fuzzy("page", "thing", 2, 128)], "term string")
 
 
 # Ranking
 
 
-@query("bm25_single_term", PAGE + _term("a", "the") + f" SELECT book_id, item_id, {_ROUNDED} FROM a")
-def bm25_single_term(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").term("the"))
+@index_query("bm25_single_term", PAGE + _term("a", "the") + f" SELECT book_id, item_id, {_ROUNDED} FROM a")
+def bm25_single_term(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").term("the"))
 
 
-@query("bm25_top20", PAGE + _term("a", "that") + f" SELECT 'page' AS field, book_id, item_id, {_ROUNDED} FROM a ORDER BY a.score, book_id, item_id LIMIT 20")
-def bm25_top20(spark, folder):
-    hits = Engine(corpus_index(spark, folder)).search("that", "page", 20).hits
+@index_query("bm25_top20", PAGE + _term("a", "that") + f" SELECT 'page' AS field, book_id, item_id, {_ROUNDED} FROM a ORDER BY a.score, book_id, item_id LIMIT 20")
+def bm25_top20(spark, folder, plain):
+    hits = Engine(corpus_index(spark, folder, plain)).search("that", "page", 20).hits
     return hits.select("field", "book_id", "item_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_and", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("", "a", "b"))
-def bm25_and(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene("that AND with"))
+@index_query("bm25_and", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("", "a", "b"))
+def bm25_and(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene("that AND with"))
 
 
-@query("bm25_or", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("FULL", "a", "b"))
-def bm25_or(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene("that OR with"))
+@index_query("bm25_or", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("FULL", "a", "b"))
+def bm25_or(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene("that OR with"))
 
 
-@query("bm25_boosted_or", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("FULL", "a", "b", 2.5, 0.5))
-def bm25_boosted_or(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene("that^2.5 OR with^0.5"))
+@index_query("bm25_boosted_or", PAGE + _term("a", "that") + _term("b", "with") + " " + _merged("FULL", "a", "b", 2.5, 0.5))
+def bm25_boosted_or(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene("that^2.5 OR with^0.5"))
 
 
-@query("phrase_two_term", PAGE + _phrase("p", ["of", "the"], 0) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
-def phrase_two_term(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene('"of the"'))
+@index_query("phrase_two_term", PAGE + _phrase("p", ["of", "the"], 0) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
+def phrase_two_term(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene('"of the"'))
 
 
-@query("phrase_slop", PAGE + _phrase("p", ["of", "the"], 4) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
-def phrase_slop(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene('"of the"~4'))
+@index_query("phrase_slop", PAGE + _phrase("p", ["of", "the"], 4) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
+def phrase_slop(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene('"of the"~4'))
 
 
-@query("phrase_three_term", PAGE + _phrase("p", ["the", "of", "and"], 3) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
-def phrase_three_term(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene('"the of and"~3'))
+@index_query("phrase_three_term", PAGE + _phrase("p", ["the", "of", "and"], 3) + f" SELECT book_id, item_id, {_ROUNDED} FROM p")
+def phrase_three_term(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene('"the of and"~3'))
 
 
-@query("phrase_term_boolean", PAGE + _phrase("p", ["of", "the"], 0) + _term("a", "that") + " " + _merged("FULL", "p", "a", 3, 1))
-def phrase_term_boolean(spark, folder):
-    return _hits(Ranker(corpus_index(spark, folder), "page").lucene('"of the"^3 OR that'))
+@index_query("phrase_term_boolean", PAGE + _phrase("p", ["of", "the"], 0) + _term("a", "that") + " " + _merged("FULL", "p", "a", 3, 1))
+def phrase_term_boolean(spark, folder, plain):
+    return _hits(Ranker(corpus_index(spark, folder, plain), "page").lucene('"of the"^3 OR that'))
 
 
-@query("constant_wildcard_hits", PAGE + " SELECT DISTINCT book_id, item_id, CAST(-1.0 AS DOUBLE) AS score FROM tok WHERE term LIKE 'thin%'")
-def constant_wildcard_hits(spark, folder):
-    return _hits(search_field(corpus_index(spark, folder), "page", "thin*", SearchOptions(), None)[1])
+@index_query("constant_wildcard_hits", PAGE + " SELECT DISTINCT book_id, item_id, CAST(-1.0 AS DOUBLE) AS score FROM tok WHERE term LIKE 'thin%'")
+def constant_wildcard_hits(spark, folder, plain):
+    return _hits(search_field(corpus_index(spark, folder, plain), "page", "thin*", SearchOptions(), None)[1])
 
 
 def _match(name: str, q: str, sql: str) -> None:
-    @query(name, PAGE + " " + sql)
-    def run(spark, folder):
-        index = corpus_index(spark, folder)
+    @index_query(name, PAGE + " " + sql)
+    def run(spark, folder, plain):
+        index = corpus_index(spark, folder, plain)
         return matches(index, "page", Compiler(index, "page").query(q).node).select("rowid")
 
 
@@ -320,15 +332,15 @@ siz AS (SELECT CAST((SELECT count(*) FROM documents) AS DOUBLE) AS rows, CAST((S
 scored AS (SELECT *, -({parts}) AS score FROM per, tot, siz WHERE {where})"""
 
 
-@query("row_bm25", PAGE + _row_bm25(["this", "with", "from"], "(f0 > 0 OR f1 > 0) AND f2 > 0") + f" SELECT book_id, item_id, {_ROUNDED} FROM scored")
-def row_bm25_hits(spark, folder):
-    index = corpus_index(spark, folder)
+@index_query("row_bm25", PAGE + _row_bm25(["this", "with", "from"], "(f0 > 0 OR f1 > 0) AND f2 > 0") + f" SELECT book_id, item_id, {_ROUNDED} FROM scored")
+def row_bm25_hits(spark, folder, plain):
+    index = corpus_index(spark, folder, plain)
     return _hits(row_bm25(index, "page", Compiler(index, "page").query("(this OR with) AND from").node))
 
 
-@query("clause_boosts", PAGE + _row_bm25(["this", "with"], "f0 > 0 OR f1 > 0") + f" SELECT book_id, item_id, round(CASE WHEN f0 > 0 THEN CAST({_real('score')} * {_real(2)} AS DOUBLE) ELSE score END, 6) AS score FROM scored")
-def clause_boosts(spark, folder):
-    return _hits(search_field(corpus_index(spark, folder), "page", "this^2 with", SearchOptions(), None)[1])
+@index_query("clause_boosts", PAGE + _row_bm25(["this", "with"], "f0 > 0 OR f1 > 0") + f" SELECT book_id, item_id, round(CASE WHEN f0 > 0 THEN CAST({_real('score')} * {_real(2)} AS DOUBLE) ELSE score END, 6) AS score FROM scored")
+def clause_boosts(spark, folder, plain):
+    return _hits(search_field(corpus_index(spark, folder, plain), "page", "this^2 with", SearchOptions(), None)[1])
 
 
 def _both() -> str:
@@ -338,18 +350,18 @@ def _both() -> str:
     return f"SELECT field, book_id, item_id, {_ROUNDED} FROM ({part('page', ITEMS)} UNION ALL {part('title', TITLES)}) u ORDER BY u.score, field, book_id, item_id LIMIT 20"
 
 
-@query("both_fields_merge", _both())
-def both_fields_merge(spark, folder):
-    hits = Engine(corpus_index(spark, folder)).search("the", "both", 20).hits
+@index_query("both_fields_merge", _both())
+def both_fields_merge(spark, folder, plain):
+    hits = Engine(corpus_index(spark, folder, plain)).search("the", "both", 20).hits
     return hits.select("field", "book_id", "item_id", F.round("score", 6).alias("score"))
 
 
 _BATCH = {"q1": "that", "q2": "with", "q3": "from", "q4": "this"}
 
 
-@query("batch_top_k", PAGE + "".join(_term(k, t) for k, t in _BATCH.items()) + ", u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS query_id, * FROM {k}" for k in _BATCH) + f"), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, book_id, item_id) AS rank FROM u) SELECT query_id, book_id, item_id, {_ROUNDED}, rank FROM r WHERE rank <= 10")
-def batch_top_k(spark, folder):
-    rows = Engine(corpus_index(spark, folder)).batch_terms(_BATCH, "page", 10)
+@index_query("batch_top_k", PAGE + "".join(_term(k, t) for k, t in _BATCH.items()) + ", u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS query_id, * FROM {k}" for k in _BATCH) + f"), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, book_id, item_id) AS rank FROM u) SELECT query_id, book_id, item_id, {_ROUNDED}, rank FROM r WHERE rank <= 10")
+def batch_top_k(spark, folder, plain):
+    rows = Engine(corpus_index(spark, folder, plain)).batch_terms(_BATCH, "page", 10)
     return rows.select("query_id", "book_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -439,9 +451,9 @@ def rank_boosts(spark, folder):
     return spark.createDataFrame(rows, "query string, field string, boost string, ranked string")
 
 
-@query("explain_counts", PAGE + " SELECT term AS clause, count(DISTINCT rowid) AS hits FROM tok WHERE term IN ('that', 'with', 'from') GROUP BY 1")
-def explain_counts(spark, folder):
-    index = corpus_index(spark, folder)
+@index_query("explain_counts", PAGE + " SELECT term AS clause, count(DISTINCT rowid) AS hits FROM tok WHERE term IN ('that', 'with', 'from') GROUP BY 1")
+def explain_counts(spark, folder, plain):
+    index = corpus_index(spark, folder, plain)
     compiler = Compiler(index, "page")
     out = None
     for t in ("that", "with", "from"):
