@@ -3,7 +3,8 @@
 A document's ids are serialised as little-endian unsigned integers of two bytes (four, if the vocabulary has
 more than 65,536 ids). The Zstandard dictionary is trained on the serialised arrays of all documents, by
 levels: every SLICE_BYTES of them train a small dictionary where they lie, and the small ones train those of the
-next level, at most FAN_IN at a time, until one is left. Each document is then a frame of its own, so that a
+next level, at most FAN_IN at a time, until one is left. Small ones may be as large as the last, so that it is
+trained on pieces of all of them however few they are; what fits into it whole is taken as it is. Each document is then a frame of its own, so that a
 short one is read without its neighbours, and has a place in the offset index: the shard (what one task wrote),
 its offset and its length there. Every row carries the SHA-256 of the dictionary, which decompression checks.
 
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import PATTERN, VOCABULARY, read_ranks
 
-DICTIONARY_BYTES, PART_BYTES = 64 << 10, 16 << 10
+DICTIONARY_BYTES, PART_BYTES = 64 << 10, 64 << 10
+#: Samples too few to train on are cut into pieces of this size, dictionaries always.
+PIECE = 1024
 SLICE_BYTES = 8 << 20
 FAN_IN = 256
 LEVEL = 3
@@ -50,17 +53,24 @@ def tokenizer(path: str = VOCABULARY):
     return _kept[path]
 
 
+def pieces(samples: list[bytes]) -> list[bytes]:
+    return [s[i : i + PIECE] for s in samples for i in range(0, len(s), PIECE)]
+
+
 def train(samples: list[bytes], most: int) -> bytes:
-    """A dictionary of at most `most` bytes; where there is too little to train on, the samples themselves."""
+    """A dictionary of at most `most` bytes; the samples themselves, where they all fit into it."""
     import zstandard
 
     samples = [s for s in samples if s]
-    if sum(map(len, samples)) > 8 * most and len(samples) > 10:
-        try:
-            return zstandard.train_dictionary(most, samples, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-most:]
+    if sum(map(len, samples)) <= most:
+        return b"".join(samples)
+    try:
+        # By default the last quarter of the samples would only be tested on.
+        return zstandard.train_dictionary(most, samples if len(samples) > 10 else pieces(samples), k=256, d=8, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:
+        # Zstandard can't train on them: stretches from all over the samples.
+        data, n = b"".join(samples), max(1, most // 256)
+        return b"".join(data[(at := i * len(data) // n & ~3) : at + most // n] for i in range(n))
 
 
 def serialised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -95,9 +105,6 @@ def dictionary(rows: DataFrame, scratch: common.Scratch, most: int = DICTIONARY_
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([train(held, part)])], names=["n", "d"])
 
-    def pieces(parts: list[bytes]) -> list[bytes]:
-        return [d[i : i + 1024] for d in parts for i in range(0, len(d), 1024)]
-
     def merge(key, t):
         return pa.table({"n": pa.array([key[0].as_py()], pa.int64()), "d": [train(pieces(t.sort_by("n").column("d").to_pylist()), part)]})
 
