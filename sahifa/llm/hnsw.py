@@ -6,7 +6,7 @@ nearer to a link it has already. A search goes down from the top and keeps a bea
 
 The beam's width is set by audit, shard by shard: one vector in AUDIT (at least AUDIT_LEAST) is turned to the
 threshold's angle in a random direction, and the beam is doubled until searches find RECALL of all that brute
-force finds for these probes; if no beam does, the shard is searched by brute force. Every vector asks every
+force finds for these probes, in all and in the mean of each, without those of full beams; if no beam does, the shard is searched by brute force. Every vector asks every
 shard. A query whose beam has only near-duplicates in it may have missed some, and is done again by brute force
 in that shard, so large groups aren't cut off. What is found is verified by its cosine, linked, and unioned to
 connected components; of each the least id stays.
@@ -192,9 +192,11 @@ class Graph:
         while self.beam:
             ids, sims = self.search(probes, self.beam)
             hit = (ids >= 0) & (sims >= cosine)
-            # A full beam is done again by brute force, so nothing of it is missed.
-            found = np.where(hit.all(1), truth.sum(1), hit.sum(1))
-            if found.sum() >= RECALL * truth.sum():
+            # A full beam is done again by brute force, so nothing of it is missed, and it says nothing of the others.
+            rest = ~hit.all(1) & truth.any(1)
+            found, all_ = hit[rest].sum(1), truth[rest].sum(1)
+            # Each probe's own recall counts as much as another's, so that large groups don't hide small ones.
+            if not rest.any() or (found.sum() >= RECALL * all_.sum() and (found / all_).mean() >= RECALL):
                 return
             self.beam = 0 if self.beam >= n else 2 * self.beam
 
