@@ -1,15 +1,15 @@
 """The registered queries, over whole tables, and DuckDB SQL for those that SQL can express.
 
 Queries of an index that SQL checks read the tables' ASCII letters only: on those the analyser splits at spaces, as SQL
-can. Each has a twin whole_NAME over the texts as they are, which SQL can't follow. An index is built once in a
-session. Hits aren't limited, except where the top k is what is asked for.
+can. Each has a twin whole_NAME over the texts as they are, which SQL can't follow. The span queries
+give the first eight spans of a term, their whole_ twins all. An index is built once in a session. Hits aren't limited, except where the top k is what is asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
@@ -409,24 +409,35 @@ def snippets(spark, folder):
     return found.select("doc_id", "s.*")
 
 
-@query("normalized_spans")
-def normalized_spans(spark, folder):
+def span_query(name: str):
+    """Registers f(spark, folder, limit) twice: with the functions' default limit, and as whole_NAME with one that no text reaches."""
+
+    def add(f: Callable[[SparkSession, str, Column], DataFrame]):
+        query(name)(lambda spark, folder: f(spark, folder, F.lit(8)))
+        query(f"whole_{name}")(lambda spark, folder: f(spark, folder, F.lit(2**31 - 1)))
+        return f
+
+    return add
+
+
+@span_query("normalized_spans")
+def normalized_spans(spark, folder, limit):
     docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
-    each = docs.select("doc_id", F.posexplode(udfs.normalized_spans(F.col("text"), F.lit("that"), F.lit(8))).alias("n", "s"))
+    each = docs.select("doc_id", F.posexplode(udfs.normalized_spans(F.col("text"), F.lit("that"), limit)).alias("n", "s"))
     return each.select("doc_id", "n", "s.start", F.col("s.end").alias("stop"))
 
 
-@query("analyzed_spans")
-def analyzed_spans(spark, folder):
+@span_query("analyzed_spans")
+def analyzed_spans(spark, folder, limit):
     docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
-    each = docs.select("doc_id", F.posexplode(udfs.analyzed_spans(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), F.lit(8))).alias("n", "s"))
+    each = docs.select("doc_id", F.posexplode(udfs.analyzed_spans(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), limit)).alias("n", "s"))
     return each.select("doc_id", "n", "s.start", F.col("s.end").alias("stop"))
 
 
-@query("highlight_all")
-def highlight_all(spark, folder):
+@span_query("highlight_all")
+def highlight_all(spark, folder, limit):
     docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
-    text = udfs.highlight_normalized(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), F.lit("<b>"), F.lit("</b>"), F.lit(8))
+    text = udfs.highlight_normalized(F.col("text"), F.array(F.lit("that"), F.lit("with")), F.lit("all"), F.lit("<b>"), F.lit("</b>"), limit)
     return docs.select("doc_id", text.alias("marked")).where("marked is not null")
 
 

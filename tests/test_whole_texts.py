@@ -61,3 +61,12 @@ def test_hits_of_whole_texts(spark, folder):
     letters = {i: s for _, i, s in rows(spark, folder, "bm25_single_term")}
     whole = {i: s for _, i, s in rows(spark, folder, "whole_bm25_single_term")}
     assert set(letters) == set(whole) and letters != whole
+
+
+def test_spans_of_whole_texts(spark, tmp_path):
+    text = "that x with " * 20
+    spark.createDataFrame([(1, text, "source1")], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    at = lambda word: {(i, i + 4) for i in range(len(text)) if text[i : i + 4] == word}
+    assert {r[2:] for r in rows(spark, tmp_path, "whole_normalized_spans")} == at("that")
+    assert {r[2:] for r in rows(spark, tmp_path, "whole_analyzed_spans")} == at("that") | at("with")
+    assert rows(spark, tmp_path, "whole_highlight_all") == [(1, text.replace("that", "<b>that</b>").replace("with", "<b>with</b>"))]
