@@ -4,12 +4,17 @@ The automaton reads tokens. It starts as one state with a loop for each byte, an
 adds a gadget: wherever an arc a leads to a state with an arc b, an arc ab is drawn past it, to where b led;
 then the state after a loses its arc b, in a copy of its own, since a and b in a row must now be ab. So the
 state after a token depends on that token alone, and the automaton accepts exactly the token sequences that
-BPE gives. It is kept as the gadgets left it (which arcs were cut, when, and from which state each copy was
-made), since a full table would have 50,000 x 50,000 entries; a transition is looked up there once and then
-comes from a table. A pre-split word is encoded by following, for each of its prefixes, the one arc that
-leads on from the state of a shorter prefix; ids are decoded by writing out the arcs' labels.
+BPE gives. Its rows are shared: a copied state keeps the row it was copied from and the cuts made since, a drawn
+arc the column of the arc it was drawn past (all 50,000 x 50,000 entries would take gigabytes). An entry is put
+together from these once and then stands in a transition table.
 
-Null text gives null tokens, empty text an empty array; any text, however long, is encoded whole.
+A pre-split word is read byte by byte. A second table, of the vocabulary's bytes, leads from each byte to the
+longest token that ends there, and from that to the shorter ones. A prefix has one path only, so exactly one of
+them continues the path of what is before it: its state. No path is tried and taken back. All new words of a
+slice are read together, a byte of each at a time. Ids are decoded by writing out the arcs' labels.
+
+Null text gives null tokens, empty text an empty array; any text, however long, is encoded whole. A token that its
+own merges don't give is in no text's ids; it can be decoded. Columns named like the two that are added are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +36,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-splitting into words, as the public byte-level vocabularies have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker keeps; beyond that it starts anew, which costs time and changes nothing.
-KEPT_WORDS, KEPT_ARCS = 700_000, 1_000_000
+KEPT_WORDS = 700_000
+#: Slots of the transition table: a power of two. Once half are taken it is emptied, with the same effect.
+ARC_SLOTS = 1 << 21
+#: Longer words are read by themselves, as there are few of a length to read together.
+TOGETHER = 300
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -50,100 +59,208 @@ def plain_bpe(word: bytes, ranks: dict[bytes, int], below: int | None = None) ->
     return parts
 
 
+class Slots:
+    """A hash table of non-negative 64-bit keys to numbers, on arrays."""
+
+    def __init__(self, slots: int):
+        self.bits = slots.bit_length() - 1
+        self.keys, self.values, self.used = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], default)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that aren't held yet, each once."""
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            # Of several keys for a slot one stays.
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[won]] = values[won]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        self.used += len(keys)
+
+    def clear(self) -> None:
+        self.keys.fill(-1)
+        self.used = 0
+
+
 class Automaton:
     """The automaton of a list of merges; a state is named by the token whose arcs lead to it."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ids = ranks
-        #: The most bytes of a token that begins with these three.
-        self.reach: dict[bytes, int] = {}
-        for token in ranks:
-            self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 2))
-        size = max(ranks.values()) + 1
+    def __init__(self, ranks: dict[bytes, int], arc_slots: int = ARC_SLOTS):
+        self.size = size = max(ranks.values(), default=0) + 1
         self.label: list[bytes] = [b""] * size
         #: For ab: whose arcs its own were drawn past (a), the state that its state is a copy of (b), and when.
-        self.head, self.tail, self.born = list(range(size)), list(range(size)), [-1] * size
+        self.head, self.tail, self.born = np.arange(size), np.arange(size), np.full(size, -1)
         #: Arcs that a gadget cut: (state, token) and the step.
-        self.cut: dict[int, int] = {}
-        self.size = size
-        self.arcs: dict[int, bool] = {}
+        cut: dict[int, int] = {}
+        read: list[tuple[bytes, int]] = []
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self.label[rank] = token
-            if len(token) > 1:
-                parts = plain_bpe(token, ranks, below=rank)
-                if len(parts) == 2:
-                    self._add_gadget(rank, ranks[parts[0]], ranks[parts[1]])
-        del self.label[size:]
-
-    def _add_gadget(self, ab: int, a: int, b: int) -> None:
-        self.head[ab], self.tail[ab], self.born[ab] = a, b, ab
-        self.cut.setdefault(a * self.size + b, ab)
-
-    def arc(self, state: int, token: int) -> bool:
+            parts = plain_bpe(token, ranks, below=rank)
+            if len(parts) == 2:
+                a, b = ranks[parts[0]], ranks[parts[1]]
+                self.head[rank], self.tail[rank], self.born[rank] = a, b, rank
+                cut.setdefault(a * size + b, rank)
+            if len(parts) <= 2 and token:
+                read.append((token, rank))
+        self.cut = Slots(1 << max(4, (4 * len(cut)).bit_length()))
+        self.cut.put(np.fromiter(cut.keys(), np.int64, len(cut)), np.fromiter(cut.values(), np.int64, len(cut)))
+        self.length = np.array([len(x) for x in self.label], np.int64)
+        self.arc_table = Slots(arc_slots)
+        self._read_bytes(read)
+
+    def _read_bytes(self, tokens: list[tuple[bytes, int]]) -> None:
+        """The table of bytes: `go` from each node by each byte, `ends` the longest token ending at a node, `shorter` the next one."""
+        step: dict[tuple[int, int], int] = {}
+        token_of, levels = [-1], [[(0, 0, 0)]]
+        for token, rank in tokens:
+            at = 0
+            for depth, byte in enumerate(token, 1):
+                to = step.get((at, byte))
+                if to is None:
+                    to = step[at, byte] = len(token_of)
+                    token_of.append(-1)
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((to, at, byte))
+                at = to
+            token_of[at] = rank
+        go = np.zeros((len(token_of), 256), np.int32)
+        back, ends = np.zeros(len(token_of), np.int32), np.array(token_of, np.int32)
+        self.shorter = np.full(self.size, -1, np.int32)
+        for depth, level in enumerate(levels):
+            node, parent, byte = np.array(level).T
+            if depth:
+                # Where the text without its first byte leads.
+                back[node] = go[back[parent], byte] if depth > 1 else 0
+                own = ends[node] >= 0
+                self.shorter[ends[node[own]]] = ends[back[node[own]]]
+                ends[node] = np.where(own, ends[node], ends[back[node]])
+                go[node] = go[back[node]]
+            if depth + 1 < len(levels):
+                child, parent, byte = np.array(levels[depth + 1]).T
+                go[parent, byte] = child
+        self.go, self.ends = go.ravel(), ends
+
+    def arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether the state after one token has an arc for another: what the gadgets left of it."""
-        key = state * self.size + token
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._trace(state, token)
-        return known
-
-    def _trace(self, state: int, token: int) -> bool:
-        cut, size, head, tail, born = self.cut, self.size, self.head, self.tail, self.born
-        until = 1 << 60
+        keys = states.astype(np.int64) * self.size + tokens
+        known = self.arc_table.get(keys, -1)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh = np.unique(keys[new])
+            found = np.concatenate([self._entry(k // self.size, k % self.size) for k in np.array_split(fresh, len(fresh) // 100_000 + 1)])
+            known[new] = found[np.searchsorted(fresh, keys[new])]
+            if 2 * (self.arc_table.used + len(fresh)) > len(self.arc_table.keys):
+                self.arc_table.clear()
+            self.arc_table.put(fresh[: len(self.arc_table.keys) // 2], found)
+        return known > 0
+
+    def _entry(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Entries of the transition table (1: there is an arc), from the shared rows and their cuts."""
+        never = np.iinfo(np.int32).max
+        out, left, until = np.ones(len(state), np.int32), np.arange(len(state)), np.full(len(state), never)
+        while len(left):
+            gone = self.cut.get(state * self.size + token, never) < until
+            out[left[gone]] = 0
+            # Back to the later of the two gadgets: the state was copied then, or the arc drawn.
+            copied, drawn = self.born[state], self.born[token]
+            later = copied > drawn
+            until = np.where(later, copied, drawn + 1)
+            go_on = ~gone & (later | (drawn >= 0))
+            state, token = np.where(later, self.tail[state], state)[go_on], np.where(later, token, self.head[token])[go_on]
+            left, until = left[go_on], until[go_on]
+        return out
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        state = np.empty(len(raw), np.int32)
+        for i in np.flatnonzero(size > TOGETHER):
+            state[begin[i] : begin[i] + size[i]] = self._read_one(words[i])
+        order = np.argsort(-size, kind="stable")
+        order = order[(size[order] > 0) & (size[order] <= TOGETHER)]
+        at, count = begin[order], size[order]
+        node = np.zeros(len(order), np.int64)
+        for i in range(int(count[0]) if len(count) else 0):
+            n = int(np.searchsorted(-count, -i, side="left"))
+            node = self.go[(node[:n] << 8) | raw[at[:n]]].astype(np.int64)
+            self._settle(state, at[:n], self.ends[node], i)
+            at = at[:n] + 1
+        # From each word's end back to its begin: the tokens of its path.
+        used = np.zeros(len(raw) + 1, bool)
+        some = np.flatnonzero(size)
+        at, first = begin[some] + size[some] - 1, begin[some]
+        while len(at):
+            used[at] = True
+            at = at - self.length[state[at]]
+            on = at >= first
+            at, first = at[on], first[on]
+        many = np.concatenate([[0], np.cumsum(used)])
+        return state[used[:-1]], many[begin + size] - many[begin]
+
+    def _settle(self, state: np.ndarray, at: np.ndarray, token: np.ndarray, before: int) -> None:
+        """Put the state after each byte `at`, of which there are `before` others in its word: of the tokens ending there the one with an arc."""
         while True:
-            if cut.get(state * size + token, until) < until:
-                return False
-            # Go back to the later of the two gadgets: the state was copied then, or the arc drawn.
-            if born[state] > born[token]:
-                until, state = born[state], tail[state]
-            elif born[token] >= 0:
-                until, token = born[token] + 1, head[token]
-            else:
-                return True
+            if token.min() < 0:
+                raise ValueError("the vocabulary has no tokens for some bytes")
+            size = self.length[token]
+            inner = np.flatnonzero(size <= before)
+            good = np.ones(len(at), bool)
+            good[inner] = self.arcs(state[at[inner] - size[inner]], token[inner])
+            state[at[good]] = token[good]
+            if good.all():
+                return
+            at, token = at[~good], self.shorter[token[~good]]
+
+    def _read_one(self, word: bytes) -> list[int]:
+        """The states after each byte of a long word, by the same tables."""
+        go, ends, shorter, length = (memoryview(np.ascontiguousarray(x)) for x in (self.go, self.ends, self.shorter, self.length))
+        state, node, known = [], 0, {}
+        for i, byte in enumerate(word):
+            node = go[node << 8 | byte]
+            token = ends[node]
+            while token >= 0 and length[token] <= i:
+                key = state[i - length[token]], token
+                if key not in known:
+                    known[key] = bool(self.arcs(np.array([key[0]]), np.array([token]))[0])
+                if known[key]:
+                    break
+                token = shorter[token]
+            if token < 0:
+                raise ValueError("the vocabulary has no tokens for some bytes")
+            state.append(token)
+        return state
 
     def encode(self, word: bytes) -> list[int]:
         """The one path through the automaton whose labels spell the word."""
-        ids = self.ids
-        whole = ids.get(word)
-        if whole is not None:
-            return [whole]
-        n, reach, arcs, size = len(word), self.reach, self.arcs, self.size
-        out: list[int] = []
-        begins: list[int] = []
-        # Positions from which no arcs lead to the end; as a prefix has one path only, none ever will.
-        dead: set[int] = set()
-        at, most = 0, min(n, reach.get(word[:3], 2))
-        while at < n:
-            for j in range(most, at, -1):
-                t = ids.get(word[at:j])
-                if t is None or j in dead:
-                    continue
-                if not out:
-                    break
-                known = arcs.get(out[-1] * size + t)
-                if known or (known is None and self.arc(out[-1], t)):
-                    break
-            else:
-                if not out:
-                    raise ValueError(f"the vocabulary has no tokens for {word!r}")
-                dead.add(at)
-                out.pop()
-                most, at = at - 1, begins.pop()
-                continue
-            out.append(t)
-            begins.append(at)
-            at = j
-            most = min(n, at + reach.get(word[at : at + 3], 2))
-        return out
+        return self.encode_many([word])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
 
 
 class Encoder(dict):
-    """Texts to ids. The dict has a row number for each word seen; `flat` has its ids, `ends` where they end."""
+    """Texts to ids. The dict has a row number for each word seen; `flat` has its ids, from `starts` on."""
 
     #: Letters, digits, punctuation and marks of which the re and regex modules think alike; others take the slow way.
     _usual = re.compile(r"[^ \n!-~À-ÖØ-öø-ſ‘-‟…–—€]")
@@ -159,11 +276,15 @@ class Encoder(dict):
 
     def _restart(self) -> None:
         self.clear()
-        self.flat, self.lengths, self.ends = array("i"), array("i"), array("q")
+        self.flat, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.rows_held = 0
+        #: Words of rows that have no ids yet, and how many of them each of these rows has.
+        self.words: list[str] = []
+        self.parts: list[int] = []
 
     def __missing__(self, key: str) -> int:
         # "\0x" is x at a text's start, "\1x" a word that is split already, "\nx" x after a line's end, x else " x".
-        lead, known = key[:1], None
+        lead = key[:1]
         if lead == "\1":
             words = [key[1:]]
         else:
@@ -172,21 +293,27 @@ class Encoder(dict):
                 words = [text]
             elif key[-1] in ".," and key[:-1].isalpha():
                 words = [text[:-1], key[-1]]
-                known = self.get(key[:-1])
             else:
                 words = (self.slow if self._usual.search(text) else self.fast)(text)
-        encode, before = self.automaton.encode, len(self.flat)
-        if known is not None:
-            end = self.ends[known]
-            self.flat.extend(self.flat[end - self.lengths[known] : end])
-            words = words[1:]
-        for w in words:
-            self.flat.extend(encode(w.encode()))
-        row = self[key] = len(self.lengths)
-        self.lengths.append(len(self.flat) - before)
-        self.ends.append(len(self.flat))
+        self.words += words
+        self.parts.append(len(words))
+        row = self[key] = self.rows_held + len(self.parts) - 1
         return row
 
+    def _learn(self) -> None:
+        """Encode the new rows' words, all together."""
+        ids, size = self.automaton.encode_many([w.encode() for w in self.words])
+        to = np.concatenate([[0], np.cumsum(size)])[np.cumsum(self.parts)]
+        held, n = int(self.starts[self.rows_held]), len(self.parts)
+        while held + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        while self.rows_held + n + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        self.flat[held : held + len(ids)] = ids
+        self.starts[self.rows_held + 1 : self.rows_held + n + 1] = held + to
+        self.rows_held += n
+        self.words, self.parts = [], []
+
     def rows(self, text: str) -> list[int]:
         if (
             self._usual.search(text)
@@ -203,20 +330,20 @@ class Encoder(dict):
         """The ids of all texts in a row, and where each text's begin, with the end."""
         if len(self) > KEPT_WORDS:
             self._restart()
-        rows: list[int] = []
+        rows = array("q")
         count = [0]
         for text in texts:
             if text:
-                rows += self.rows(text)
+                rows.extend(self.rows(text))
             count.append(len(rows))
-        lengths = np.array(self.lengths, dtype=np.int64)
-        starts = np.array(self.ends, dtype=np.int64) - lengths
-        flat = np.array(self.flat, dtype=np.int32)
-        at = np.array(rows, np.int64)
-        size = lengths[at]
+        if self.parts:
+            self._learn()
+        at = np.frombuffer(rows, np.int64) if len(rows) else np.zeros(0, np.int64)
+        start = self.starts[at]
+        size = self.starts[at + 1] - start
         ends = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(starts[at] - ends[:-1], size) + np.arange(ends[-1])
-        return flat[index], ends[np.array(count)]
+        index = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+        return self.flat[index], ends[np.array(count)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
