@@ -141,7 +141,8 @@ def test_nearest_on_the_table(spark):
     x, ids = np.array([r.embedding for r in t]), np.array([r.vec_id for r in t])
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
-    true = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(d, 1)[:, : annkd.K]) for j in row}
+    true = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(d, 1)[:, : annkd.K]) for j in row if ids[i] % annkd.EVERY == 0}
+    assert {r.vec_id for r in rows} == {i for i in ids if i % annkd.EVERY == 0} and len(rows) * annkd.EVERY == annkd.K * len(ids)
     assert len(true & {(r.vec_id, r.neighbour) for r in rows}) >= 0.9 * len(true)
 
 
