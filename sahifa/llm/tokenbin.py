@@ -8,11 +8,9 @@ trained on pieces of all of them however few they are; what fits into it whole i
 short one is read without its neighbours, and has a place in the offset index: the shard (what one task wrote),
 its offset and its length there. Every row carries the SHA-256 of the dictionary, which decompression checks.
 
-The ids are those of operator 5's vocabulary; tiktoken, which gives the same ones, makes them here, as they are
-only what is stored.
-
-Null text has null ids and a null frame of length 0; empty text has a frame of no ids. Rows with the same doc_id
-are rows of their own, null doc_ids stay. An empty table has an empty dictionary: frames then need none.
+The ids are operator 5's. Null text has null ids and a null frame of length 0; empty text has a frame of no ids.
+Rows with the same doc_id are rows of their own, null doc_ids stay. An empty table has an empty dictionary: frames
+then need none. Columns other than the two that are named aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import PATTERN, VOCABULARY, read_ranks
+from .bpe import VOCABULARY, encoder, read_ranks
 
 DICTIONARY_BYTES, PART_BYTES = 64 << 10, 64 << 10
 #: Samples too few to train on are cut into pieces of this size, dictionaries always.
@@ -41,18 +39,6 @@ def width(vocabulary: str = VOCABULARY) -> str:
     return "<u2" if max(read_ranks(vocabulary).values()) < 1 << 16 else "<u4"
 
 
-_kept: dict[str, object] = {}
-
-
-def tokenizer(path: str = VOCABULARY):
-    """The vocabulary's tokenizer, loaded once in each process."""
-    if path not in _kept:
-        import tiktoken
-
-        _kept[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    return _kept[path]
-
-
 def pieces(samples: list[bytes]) -> list[bytes]:
     return [s[i : i + PIECE] for s in samples for i in range(0, len(s), PIECE)]
 
@@ -79,11 +65,15 @@ def serialised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     kind = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_to_numpy
+        enc, item = encoder(vocabulary), np.dtype(kind).itemsize
         for batch in common.text_slices(batches, "text"):
-            ids = [None if x is None else encode(x, disallowed_special=()).astype(kind).tobytes() for x in batch.column(1).to_pylist()]
-            count = [None if x is None else len(x) // np.dtype(kind).itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(count, pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            texts = batch.column(1)
+            ids, ends = enc.encode_all(texts.to_pylist())
+            null = np.asarray(texts.is_null())
+            at = pa.py_buffer((ends * item).astype(np.int32).tobytes())
+            valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+            data = pa.Array.from_buffers(pa.binary(), len(texts), [valid, at, pa.py_buffer(ids.astype(kind).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, pa.array(np.diff(ends), pa.int64(), mask=null)], names=["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
