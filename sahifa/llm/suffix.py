@@ -5,8 +5,9 @@ in another document or the same, keeps one occurrence, the first by (doc_id, row
 
 Suffixes meet in two steps, so that no more text is moved than may repeat:
 1. In every run of WORDS words the GRAM words of least hash are its anchor. Equal passages have equal anchors,
-   and only about one place in twenty is one. Anchors are shuffled as hashes; those that occur once are done with.
-2. Of the others, all passages with that anchor are sent, as one stretch of text, to where its like go. Stretches
+   and only about one place in twenty is one. Anchors are shuffled as hashes and sorted, and a task reads them in
+   a stream, however many are alike; those that occur once are done with.
+2. The others' places are joined with the texts, and all passages with such an anchor are sent, as one stretch of text, to where its like go. Stretches
    that are the same byte for byte are taken together. The suffixes of the rest, beginning at each passage, are
    sorted by a merge sort. Two of them are compared by their longest common extension, found by binary search
    over prefix polynomial hashes, and by the word after it. Neighbours in order that have WORDS words or more in
@@ -14,7 +15,8 @@ Suffixes meet in two steps, so that no more text is moved than may repeat:
 
 Documents with a null doc_id or text are neither cut nor compared. Rows with the same doc_id and text are one
 document, cut alike; with the same doc_id and other texts, several. Texts of fewer than WORDS words stay as
-they are. A document that is cut to nothing goes. Repeats of a line or word in one text count as passages too.
+they are. A document that is cut to nothing goes. Repeats of a line or word in one text count as passages too. An
+empty table gives an empty one. Columns of any name stay as they are: the operator's own get names that docs lacks.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, GRAM = 50, 12
+#: A stretch has about so many bytes, and a task takes about so many of them.
+STRETCH_BYTES, TASK_BYTES = 500, 32 << 20
 
 
 def sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -207,7 +211,7 @@ class Stretches:
         return one == other or one.split() == other.split()
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, scratch: common.Scratch | None = None, sent_keys: int = common.SENT_KEYS) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, scratch: common.Scratch | None = None) -> DataFrame:
     """(row, doc_id, start, end, kept_in): words start..end-1 of a document are passages that kept_in has before."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -223,28 +227,25 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(w.grams[at].view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array((at - w.begin[doc]).astype(np.int32))], names=["h", "row", "pos"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        h, row, pos = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3))
-        del parts
-        order = np.argsort(h, kind="stable")
-        k = h[order]
-        again = np.zeros(len(k), bool)
-        again[1:] = k[1:] == k[:-1]
-        again[:-1] |= again[1:]
-        order = order[again]
-        h, row, pos = h[order], row[order], pos[order]
-        # Rows that are in the table twice don't make an anchor a repeated one.
-        order = np.lexsort((pos, row, h))
-        h, row, pos = h[order], row[order], pos[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])
-        h, row, pos = h[new], row[new], pos[new]
-        again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
-        again[:-1] |= again[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(pos[again])], names=["row", "pos"])
+        # Rows come in order of (h, row, pos); the last one waits for what follows it.
+        held, known = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
+        for batch in batches:
+            h, row, pos = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held))
+            # Rows that are in the table twice don't make an anchor a repeated one.
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])
+            h, row, pos = h[new], row[new], pos[new]
+            if not len(h):
+                continue
+            again = np.zeros(len(h), bool)
+            again[1:] = h[1:] == h[:-1]
+            again[:-1] |= again[1:]
+            again[0] |= known
+            held, known = [h[-1:], row[-1:], pos[-1:]], bool(again[-1])
+            again[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(row[again]), pa.array(pos[again])], names=["row", "pos"])
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], names=["row", "pos"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text"):
@@ -281,7 +282,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             return
         h, row, doc, start, lead, count = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(6))
         # The same bytes are the same stretch: Arrow compares them.
-        coded = pa.chunked_array([b.column(6) for b in parts]).combine_chunks().dictionary_encode()
+        coded = pa.chunked_array([b.column(6).cast(pa.large_binary()) for b in parts]).combine_chunks().dictionary_encode()
         code, texts = coded.indices.to_numpy(), coded.dictionary
         del parts
         order = np.lexsort((start, row, doc, lead, code, h))
@@ -330,16 +331,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         yield pa.RecordBatch.from_arrays([pa.array(row[occurrence]), pa.array(doc[occurrence]), pa.array(begin.astype(np.int32)), pa.array((begin + length[at] - 1 + words).astype(np.int32)), pa.array(doc[whose])], names=["row", "doc_id", "start", "end", "kept_in"])
 
     found = rows.select("row", "text").mapInArrow(anchors, "h long, row long, pos int")
-    found = scratch.write(found.repartition(n, "h").mapInArrow(repeated, "row long, pos int").groupBy("row").agg(F.collect_list("pos").alias("at")), "anchors")
-    # The anchors' places go to the texts as long as they are small; then their rows' keys, so that only texts with
-    # a repeated anchor are shuffled; beyond that both sides are.
-    held, places = found.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    if 24 * held + 4 * places <= 16 * sent_keys:
-        found = F.broadcast(found)
-    elif held <= sent_keys:
-        rows = rows.join(F.broadcast(found.select("row")), "row", "left_semi")
+    found = found.repartition(n, "h").sortWithinPartitions("h", "row", "pos").mapInArrow(repeated, "row long, pos int")
+    found = scratch.write(found.groupBy("row").agg(F.collect_list("pos").alias("at")), "anchors")
+    # As many tasks as keep the stretches of each to about TASK_BYTES.
+    places = found.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    tasks = max(n, -(-int(places) * STRETCH_BYTES // TASK_BYTES))
     texts = rows.join(found, "row").select("row", "doc_id", "text", "at").mapInArrow(stretches, "h long, row long, doc_id long, start int, lead int, count int, text binary")
-    marked = scratch.write(texts.repartition(n, "h").mapInArrow(marks, "row long, doc_id long, start int, end int, kept_in long"), "marks")
+    marked = scratch.write(texts.repartition(tasks, "h").mapInArrow(marks, "row long, doc_id long, start int, end int, kept_in long"), "marks")
     # Marks that overlap or touch are one.
     by = Window.partitionBy("row", "kept_in").orderBy("start", "end")
     upto = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -347,19 +345,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return runs.groupBy("row", "doc_id", "kept_in", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("row", "doc_id", "start", "end", "kept_in")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, length: str | None = None, sent_keys: int = common.SENT_KEYS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, gram: int = GRAM, length: str | None = None) -> DataFrame:
     """docs with the repeated passages cut from their texts; documents of which nothing is left go.
 
     length: names a column that has the text's characters, which are counted anew.
     """
     scratch = common.Scratch(docs.sparkSession, "suffix")
-    found = repeated_passages(docs, doc_id, text, words, gram, scratch, sent_keys)
-    cuts = scratch.write(found.groupBy("row").agg(F.collect_list("start").alias("__starts"), F.collect_list("end").alias("__ends")), "cuts")
-    cuts = cuts.withColumnRenamed("row", "__row")
+    found = repeated_passages(docs, doc_id, text, words, gram, scratch)
+    row, starts, ends = common.fresh(docs, "row", "starts", "ends")
+    cuts = scratch.write(found.groupBy(F.col("row").alias(row)).agg(F.collect_list("start").alias(starts), F.collect_list("end").alias(ends)), "cuts")
     scratch.drop("anchors", "marks")
-    # A cut is a few numbers: as long as there are few enough, they go to the texts and not the texts to them.
-    if cuts.agg(F.coalesce(F.sum(2 + F.size("__starts")), F.lit(0))).first()[0] <= sent_keys:
-        cuts = F.broadcast(cuts)
     names = docs.columns
     schema = docs.schema
 
@@ -394,7 +389,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     key = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
     known = F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()
-    joined = docs.join(cuts, (key == F.col("__row")) & known, "left").select(*[F.col(f"`{c}`") for c in names], "__starts", "__ends")
+    joined = docs.join(cuts, F.when(known, key) == F.col(row), "left").select(*[F.col(f"`{c}`") for c in names], starts, ends)
     cut_docs = joined.mapInArrow(cut, schema)
     if length is None or length not in names:
         return cut_docs
