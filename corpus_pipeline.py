@@ -23,8 +23,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a document is there once for each epoch."""
-    return mixing.mix(docs)
+    """Sources in their target weights: a document is there once for each epoch that its source's budget gives it."""
+    return mixing.mix(docs, mixing.TARGET, others=mixing.OTHERS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ It is fitted on at most SAMPLE_DOCS labelled documents, those of least hashed do
 documents: at first all lines of a bad one count as bad; then only those that the field itself finds bad (or,
 if none, its worst), and it is fitted again. Lines without words say nothing. A document that is null, empty
 or only white space has quality 0 and is rejected. Without labelled rows of both kinds there is nothing to
-learn: every document with words then has quality 0.5 and is accepted.
+learn: every document with words then has quality 0.5 and is accepted. Of a doc_id that is labelled several times the
+lesser label counts. An empty table gives an empty one. Columns of any name stay as they are, unless three are named
+for the scores: columns of those names are replaced.
 """
 
 from __future__ import annotations
@@ -221,7 +223,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", quality: str = "qua
 def accept(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS, scores: tuple[str, ...] = ()) -> DataFrame:
     """The accepted rows of docs; scores: names of three columns to keep quality, lines and bad lines in."""
     field = train(docs, labels, doc_id, text, sample_docs)
-    names = scores or ("__quality", "__lines", "__bad")
+    names = scores or common.fresh(docs, "quality", "lines", "bad")
     kept = score(docs, field, text, *names).where(F.col(f"`{names[0]}`") >= threshold)
     return kept if scores else kept.drop(*names)
 

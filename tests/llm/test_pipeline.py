@@ -47,13 +47,15 @@ def brute_run(spark):
     for r in rows:
         n[r["source"]] += len(r["words"])
     out = Counter()
+    weight = {s: mixing.TARGET.get(s, mixing.OTHERS) for s in n}
     for s, total in n.items():
-        budget = math.floor(round(total**0.875 * max(n.values()) ** 0.125, 6))
+        budget = math.floor(round(sum(n.values()) * weight[s] / sum(weight.values()), 6))
         rest, upto = budget % total, 0
         for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"{mixing.SEED}|{r['doc_id']}".encode()).hexdigest()[:16], r["doc_id"])):
             upto += len(r["words"])
             out[r["doc_id"]] += budget // total + int(upto <= rest)
     encode = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={}).encode_ordinary
+    out = Counter({k: v for k, v in out.items() if v})
     return out, {r["doc_id"]: None if r["cut"] else encode(r["text"]) for r in rows}, {r["doc_id"]: r["words"] for r in rows}
 
 

@@ -250,8 +250,7 @@ def test_suffix_sort_orders_suffixes():
                 assert (one == other) == (of[i] == of[j])
 
 
-@pytest.mark.parametrize("sent", [10**6, 0])
-def test_suffix_finds_all_repeated_passages(spark, sent):
+def test_suffix_finds_all_repeated_passages(spark):
     rng = random.Random(11)
     shared = [words(rng, k) for k in (60, 90, 51, 50, 49, 300)]
     rows = []
@@ -263,7 +262,7 @@ def test_suffix_finds_all_repeated_passages(spark, sent):
                 w += rng.choice(shared)
         rows.append((i, " ".join(w)))
     rows += [(80, rows[3][1]), (81, rows[3][1].replace(" ", "\n", 30)), (82, "yes no " * 200), (3, rows[3][1])]
-    found = suffix.repeated_passages(documents(spark, rows), sent_keys=sent).collect()
+    found = suffix.repeated_passages(documents(spark, rows)).collect()
     got = {i: set() for i, _ in rows}
     for r in found:
         got[r.doc_id] |= set(range(r.start, r.end))
@@ -275,7 +274,7 @@ def test_suffix_finds_all_repeated_passages(spark, sent):
     for r in found:
         kept = " " + " ".join(by_id[r.kept_in]) + " "
         assert f" {' '.join(by_id[r.doc_id][r.start : r.start + 50])} " in kept
-    cut = {r.doc_id: r.text.split() for r in suffix.dedup(documents(spark, rows), sent_keys=sent).collect()}
+    cut = {r.doc_id: r.text.split() for r in suffix.dedup(documents(spark, rows)).collect()}
     for i, w in by_id.items():
         assert cut.get(i, []) == [x for k, x in enumerate(w) if k not in want[i]]
 
@@ -296,7 +295,7 @@ def test_suffix_edges(spark):
 # Mixing (10)
 
 
-def brute_mix(rows, weights=None, total=None, seed=mixing.SEED):
+def brute_mix(rows, weights=None, total=None, others=0, seed=mixing.SEED):
     import hashlib
     import math
 
@@ -309,7 +308,8 @@ def brute_mix(rows, weights=None, total=None, seed=mixing.SEED):
         if total is not None:
             part = {s: p / sum(part.values()) * total for s, p in part.items()}
     else:
-        part = {s: (sum(n.values()) if total is None else total) * weights.get(s, 0) / sum(weights.values()) for s in n}
+        w = {s: weights.get(s, others) if n[s] else 0 for s in n}
+        part = {s: (sum(n.values()) if total is None else total) * w[s] / sum(w.values()) for s in n}
     out = Counter()
     for s, c in per.items():
         budget = math.floor(round(part[s], 6))
@@ -322,13 +322,16 @@ def brute_mix(rows, weights=None, total=None, seed=mixing.SEED):
     return Counter({k: v for k, v in out.items() if v})
 
 
-@pytest.mark.parametrize("weights,total,sent", [(None, None, 10), (None, 9000, 0), ({"a": 3, "b": 1}, 5000, 10), ({"a": 1, "b": 1, "c": 2}, None, 0)])
-def test_mixing_meets_budgets(spark, weights, total, sent):
+@pytest.mark.parametrize(
+    "weights,total,others,sent",
+    [(None, None, 0, 10), (None, 9000, 0, 0), ({"a": 3, "b": 1}, 5000, 0, 10), ({"a": 1, "b": 1, "c": 2}, None, 0, 0), ({"a": 0.5, "zz": 9}, None, 3, 10), ({}, 700, 1, 0)],
+)
+def test_mixing_meets_budgets(spark, weights, total, others, sent):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c"]), " ".join(words(rng, rng.randrange(1, 60)))) for i in range(200)]
     docs = documents(spark, rows, "doc_id long, source string, text string")
-    got = Counter((r.doc_id, r.source) for r in mixing.mix(docs, weights, total, epoch="e", sent_sources=sent).collect())
-    assert got == brute_mix(rows, weights, total)
+    got = Counter((r.doc_id, r.source) for r in mixing.mix(docs, weights, total, epoch="e", others=others, sent_sources=sent).collect())
+    assert got == brute_mix(rows, weights, total, others)
 
 
 def test_mixing_edges(spark):
