@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import columns, udfs
 from .functions.analyzer import analyze, analyzer
 from .operators.index import Index
-from .operators.match import matches
+from .operators.match import flags
 from .operators.rank import HIT, Ranker, search_field, top
 from .operators.strict import strict_filter
 from .plans import syntax
@@ -109,39 +109,60 @@ class Engine:
         known = [(k, t, freq[t]) for k, t in analysed.items() if freq[t]]
         wanted = self.index.spark.createDataFrame(known, "query_id string, term string, df long")
         ranker = Ranker(self.index, field)
-        rows = self.index.postings(field).where(F.col("term").isin(sorted({t for _, t, _ in known}))).join(F.broadcast(wanted), "term")
+        rows = self.index.postings(field).where(F.col("term").isin(sorted({t for _, t, _ in known}))).join(wanted, "term")
         rows = rows.join(self.index.book_lengths(field), "book_id", "left")
         score = ranker._score(columns.idf(F.lit(stats.doc_count), F.col("df")), F.col("tf")).cast("double").alias("score")
         rows = rows.select("query_id", *HIT, score)
         best = Window.partitionBy("query_id").orderBy("score", *HIT)
         return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
-    def explain(self, q: str, field: str = "both", limit: int = 20, options: SearchOptions | None = None) -> dict:
-        """What a query compiles to, how many items each clause matches, what patterns expand to, and what strictness changes."""
+    def explain(self, q: str, field: str = "both", limit: int = 20, options: SearchOptions | None = None, assertions: dict | None = None) -> dict:
+        """What a query compiles to, how many items each clause and expansion matches, and what strictness changes.
+
+        assertions: {"relaxed" or "strict": {"min_hits", "max_hits", "must_include": ["book:item"]}, "cross":
+        {"strict_at_most_relaxed", "counts_differ"}}; what fails is listed.
+        """
         options = options or self.options
         result = self.search(q, field, limit, options)
         fields = FIELDS if field == "both" else (field,)
         clauses, expansions = [], []
         for f in fields:
             compiler = Compiler(self.index, f, options)
-            for leaf, occur in dict.fromkeys(syntax.leaves(q)):
-                found = compiler._leaf(leaf)
-                if found is None:
-                    continue
-                clauses.append({"field": f, "occur": occur, "kind": leaf.kind, "clause": leaf.value, "compiled": found.text, "hits": matches(self.index, f, found.node).count()})
-                if leaf.kind == "token" and " OR " in found.text:
-                    terms = found.text.strip("()").split(" OR ")
-                    expansions.append({"field": f, "clause": leaf.value, "terms": [t.strip('"') for t in terms[:20]], "count": len(terms)})
+            leaves = [(leaf, occur, found) for leaf, occur in dict.fromkeys(syntax.leaves(q)) if (found := compiler._leaf(leaf)) is not None]
+            # One scan counts all clauses and expansions.
+            nodes = [found.node for *_, found in leaves] + [e.found.node for e in compiler.events]
+            counts = flags(self.index, f, nodes).agg(*[F.count_if(f"f{i}").alias(f"n{i}") for i in range(len(nodes))]).first() if nodes else []
+            clauses += [{"field": f, "occur": occur, "kind": leaf.kind, "clause": leaf.value, "compiled": found.text, "hits": n} for (leaf, occur, found), n in zip(leaves, counts)]
+            expansions += [
+                {"field": f, "kind": e.kind, "token": e.token, "normalized": e.normalized, "expansions": e.terms[:20], "expansion_count": len(e.terms), "compiled": e.found.text, "hits": n}
+                for e, n in zip(compiler.events, counts[len(leaves) :])
+            ]
         loose = replace(options, ignore_diacritics=True, ignore_hamza_forms=True, ignore_letter_forms=True, ignore_digit_forms=True)
         tight = replace(options, ignore_diacritics=False, ignore_hamza_forms=False, ignore_letter_forms=False, ignore_digit_forms=False)
-        counts = {name: self.search(q, field, limit, o).hits.count() for name, o in (("relaxed", loose), ("strict", tight))}
-        return {"compiled": result.compiled, "hits": result.hits.count(), "clauses": clauses, "expansions": expansions, "counts": counts, "plan": result.hits._jdf.queryExecution().toString()}
+        rows = {name: [f"{r['book_id']}:{r['item_id']}" for r in self.search(q, field, limit, o).rows()] for name, o in (("relaxed", loose), ("strict", tight))}
+        out = {"compiled": result.compiled, "hits": result.hits.count(), "clauses": clauses, "expansions": expansions, "counts": {k: len(v) for k, v in rows.items()}, "plan": result.hits._jdf.queryExecution().toString()}
+        return out if assertions is None else out | {"assertions": _asserted(rows, assertions)}
 
     def probe(self, text: str) -> list[dict]:
         """A text's tokens by the index's analyser."""
         return [t._asdict() for t in analyzer(self.index.options).tokens(text)]
 
 
+def _asserted(rows: dict[str, list[str]], assertions: dict) -> dict:
+    """What of the assertions on relaxed and strict hits doesn't hold."""
+    out = {}
+    for mode in ("relaxed", "strict"):
+        wanted, found = assertions.get(mode, {}), rows[mode]
+        failed = [f"expected at least {n} hits, got {len(found)}" for n in [wanted.get("min_hits")] if n is not None and len(found) < n]
+        failed += [f"expected at most {n} hits, got {len(found)}" for n in [wanted.get("max_hits")] if n is not None and len(found) > n]
+        failed += [f"missing expected item {k}" for k in wanted.get("must_include", ()) if k not in found]
+        out[mode] = {"pass": not failed, "failures": failed}
+    cross, relaxed, strict = assertions.get("cross", {}), len(rows["relaxed"]), len(rows["strict"])
+    failed = [f"expected strict hits <= relaxed hits ({strict} > {relaxed})"] if cross.get("strict_at_most_relaxed") and strict > relaxed else []
+    failed += [f"expected the counts to differ (both {strict})"] if cross.get("counts_differ") and strict == relaxed else []
+    return out | {"cross": {"pass": not failed, "failures": failed}}
+
+
 def result_json(result: SearchResult, q: str, field: str, options: SearchOptions) -> str:
     return json.dumps({"query": q, "field": field, "options": vars(options), "compiled": result.compiled, "hits": result.rows()}, ensure_ascii=False)
 

@@ -172,8 +172,10 @@ def byte4_to_int(code: Column) -> Column:
 
 
 def quantised(length: Column) -> Column:
-    """A length as scoring sees it: what is left of it after one byte."""
-    return byte4_to_int(int_to_byte4(F.greatest(length, F.lit(0))))
+    """A length as scoring sees it, byte4_to_int(int_to_byte4(length)): four binary digits of what is beyond FREE_VALUES."""
+    n = F.greatest(length.cast("long"), F.lit(0).cast("long"))
+    gone = F.greatest(F.length(F.bin(n - FREE_VALUES)) - 4, F.lit(0))
+    return F.when(n < FREE_VALUES + 8, n).otherwise(FREE_VALUES + F.call_function("shiftleft", F.call_function("shiftright", n - FREE_VALUES, gone), gone))
 
 
 def idf(doc_count, doc_freq) -> Column:
@@ -209,18 +211,19 @@ def norm_inverse_values(avgdl: float, k1: float = K1, b: float = B) -> list[floa
         return np.where(under <= 0, np.float32(0), np.float32(1) / under).astype(np.float32).tolist()
 
 
-def term_score(weight, tf, length: Column, avgdl, k1: float = K1, b: float = B) -> Column:
-    """BM25 of a term: w - w / (1 + tf * norm_inverse); 0 where any of weight, tf, k1, avgdl isn't positive (weight: isn't 0)."""
+def weighted_score(weight, tf, inverse: Column) -> Column:
+    """BM25 of a term by its length's norm_inverse: w - w / (1 + tf * inverse); 0 where the weight is 0 or tf isn't positive."""
     w, tf = f32(weight), f32(tf)
-    if isinstance(avgdl, Column):
-        inverse = norm_inverse(quantised(length), avgdl, k1, b)
-    else:
-        table = F.array(*[F.lit(x).cast("float") for x in norm_inverse_values(avgdl, k1, b)])
-        inverse = F.element_at(table, int_to_byte4(F.greatest(length, F.lit(0))) + 1)
     inner = f32_add(1.0, f32_mul(tf, inverse))
     score = (w - f32_div(w, inner)).cast("float")
+    return F.when((w == 0) | (tf <= 0) | (inner <= 0), F.lit(0.0).cast("float")).otherwise(score)
+
+
+def term_score(weight, tf, length: Column, avgdl, k1: float = K1, b: float = B) -> Column:
+    """The same by the length; 0 too where k1 or avgdl isn't positive."""
     zero = F.lit(0.0).cast("float")
-    return F.when((w == 0) | (tf <= 0) | (f32(k1) <= 0) | (f32(avgdl) <= 0) | (inner <= 0), zero).otherwise(score)
+    found = weighted_score(weight, tf, norm_inverse(quantised(length), avgdl, k1, b))
+    return F.when((f32(k1) <= 0) | (f32(avgdl) <= 0), zero).otherwise(found)
 
 
 def select_spans(spans: Column) -> Column:

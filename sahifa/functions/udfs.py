@@ -1,8 +1,8 @@
-"""All 40 functions of the SQL surface: `register_all` makes them callable from spark.sql under names ar_*.
+"""The functions of the SQL surface: `register_all` makes them callable from spark.sql under names ar_*.
 
-Those that are Column expressions (`columns`) are registered as SQL functions over built-ins, so they stay in the
-JVM; the others are Arrow-batched pandas UDFs over `analyzer`, `spans` and `syntax`. Null handling is that of each
-function: null in, null out, unless its line says otherwise.
+Those that built-ins can express are SQL functions over them, so they stay in the JVM; the others are Arrow-batched
+UDFs over `analyzer`, `spans` and `syntax`. Null handling is that of each function: null in, null out, unless its
+line says otherwise. A search reads an index, so it is no scalar function: Engine.execute_json does it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from ..plans import syntax
 from ..sources.storage import ship
 from . import spans
 from .analyzer import analyze, analyzer
-from .columns import Forms, normalize_text, text_is_sensitive
+from .analyzer import _PREFIXES, _SUFFIXES
+from .columns import _DIACRITICS, _DIGITS, _HAMZA, _LETTERS, _UPPER
 
 SPANS = "array<struct<start:int,end:int>>"
 SNIPPET = "struct<snippet:string,phrase_unique:int,phrase_hits:int,term_unique:int,term_hits:int,highlight_chars:int,start:int,length:int>"
@@ -134,21 +135,6 @@ QUERY_FIELD_FUNCTIONS = {
 }
 
 
-def _flag(x, default: bool) -> bool:
-    return default if x is None else bool(int(x))
-
-
-def _normalize(text, *flags) -> str | None:
-    if text is None:
-        return None
-    d, h, l, g, lower, _ = (_flag(x, default) for x, default in zip(flags, (True, True, True, True, False, False)))
-    return normalize_text(text, Forms(d, h, l, g), lower)
-
-
-def _sensitive(text, d, h, l, g) -> int:
-    return int(bool(text) and text_is_sensitive(text, Forms(not _flag(d, False), not _flag(h, False), not _flag(l, False), not _flag(g, False))))
-
-
 def _sql(parameters: str, returns: str, body: str) -> tuple[str, str, str]:
     return parameters, returns, body
 
@@ -164,8 +150,60 @@ def _inverse(length: str) -> str:
     return f"CASE WHEN avgdl <= 0 OR {under} <= 0 THEN CAST(0 AS FLOAT) ELSE CAST(CAST(1.0 AS FLOAT) / {under} AS FLOAT) END"
 
 
+def _text(x: str) -> str:
+    """A string literal; backslashes and quotes are escaped."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _normal(x: str) -> str:
+    """Each distinction by its flag, letter case last."""
+    steps = (("diacritics", _DIACRITICS, ""), ("hamza", _HAMZA, "ا" * 3), ("letters", _LETTERS, "يه"), ("digits", _DIGITS, "0123456789" * 2), ("lower", _UPPER, _UPPER.lower()))
+    for name, source, to in steps:
+        x = f"translate({x}, CASE WHEN coalesce({name}, {int(name != 'lower')}) <> 0 THEN {_text(source)} ELSE '' END, {_text(to)})"
+    return x
+
+
+def _sensitive() -> str:
+    """Whether the text has a character of a distinction that counts; false for null."""
+    sets = (("diacritics", _DIACRITICS), ("hamza", _HAMZA), ("letters", _LETTERS), ("digits", _DIGITS + "0123456789"))
+    found = " OR ".join(f"(coalesce({name}, 0) <> 0 AND t RLIKE {_text('[' + chars + ']')})" for name, chars in sets)
+    return f"CAST(coalesce({found}, false) AS INT)"
+
+
+def _stem_sql() -> str:
+    """The light stem: the first prefix that fits, then each suffix."""
+    cases = " ".join(f"WHEN startswith(w, {_text(p)}) AND length(w) >= {max(len(p) + 2, 4 if len(p) == 1 else 0)} THEN substring(w, {len(p) + 1})" for p in _PREFIXES)
+    out = f"CASE {cases} ELSE w END"
+    for suffix in _SUFFIXES:
+        out = f"regexp_replace({out}, {_text(f'(?s)^(.{{2,}}){suffix}$')}, '$1')"
+    return out
+
+
+#: A pattern without wildcards is looked for as it is; others as a regular expression, their other characters taken literally.
+_WILDCARD = r"CASE WHEN NOT p RLIKE '[*?]' THEN contains(t, p) ELSE t RLIKE replace(replace(regexp_replace(p, '([^A-Za-z0-9*?\\u0080-\\x{10FFFF}])', '\\\\$1'), '*', '.*'), '?', '.') END"
+
+_VALID = r"filter(transform(split(coalesce(csv, ''), ';'), x -> CASE WHEN x RLIKE '^\\s*[+-]?[0-9]+:\\s*[+-]?[0-9]+:\\s*[+-]?[0-9]+$' THEN transform(split(x, ':'), v -> CAST(try_cast(trim(v) AS BIGINT) AS BIGINT)) END), v -> v IS NOT NULL AND size(filter(v, y -> y IS NULL OR y < -2147483648 OR y > 2147483647)) = 0 AND v[0] >= 0 AND v[1] > v[0])"
+_RANKED = f"transform(array_sort(transform({_VALID}, v -> struct(v[2] AS p, v[0] - v[1] AS size, v[0] AS s, v[1] AS e))), x -> struct(x.s AS s, x.e AS e))"
+_PICKED = f"aggregate({_RANKED}, CAST(array() AS ARRAY<STRUCT<s: BIGINT, e: BIGINT>>), (got, x) -> CASE WHEN exists(got, g -> x.e > g.s AND x.s < g.e) THEN got ELSE concat(got, array(x)) END)"
+
+_BREAK = r"\\s`~!@#$%^&*()\\-_=+\\[{\\]}\\\\|;:\'\",<.>/?،؛«»…"
+_CLAMPED = "named_struct('s', least(greatest(coalesce(start, 0), 0), length(t)), 'e', least(greatest(coalesce(stop, 0), 0), length(t)), 'n', greatest(coalesce(scan, 12), 0))"
+_BACK = f"length(regexp_extract(substring(t, greatest(w.s - w.n, 0) + 1, least(w.s, w.n)), '(?s)[^{_BREAK}]*$', 0))"
+_AHEAD = f"length(regexp_extract(substring(t, w.e + 1, w.n), '(?s)^[^{_BREAK}]*', 0))"
+_WIDER = f"named_struct('s', w.s, 'e', w.e, 'l', CASE WHEN {_BACK} < least(w.s, w.n) THEN w.s - {_BACK} ELSE w.s END, 'r', CASE WHEN {_AHEAD} < least(length(t) - w.e, w.n) THEN w.e + {_AHEAD} ELSE w.e END)"
+_WINDOW = (
+    f"CASE WHEN coalesce(t, '') = '' THEN '{{\"start\": 0, \"end\": 0}}' ELSE element_at(transform(transform(array({_CLAMPED}), w -> {_WIDER}), "
+    "w -> concat('{\"start\": ', CASE WHEN w.r > w.l THEN w.l ELSE w.s END, ', \"end\": ', CASE WHEN w.r > w.l THEN w.r ELSE greatest(w.e, w.s) END, '}')), 1) END"
+)
+
 #: SQL functions over built-ins: Catalyst inlines them.
 SQL_FUNCTIONS = {
+    "ar_normalize": _sql("t STRING, diacritics INT DEFAULT 1, hamza INT DEFAULT 1, letters INT DEFAULT 1, digits INT DEFAULT 1, lower INT DEFAULT 0, wildcards INT DEFAULT 0", "STRING", _normal("t")),
+    "ar_stem": _sql("w STRING", "STRING", _stem_sql()),
+    "ar_has_sensitive_forms": _sql("t STRING, diacritics INT, hamza INT, letters INT, digits INT", "INT", _sensitive()),
+    "ar_wildcard_match": _sql("t STRING, p STRING", "INT", f"CAST({_WILDCARD} AS INT)"),
+    "ar_select_non_overlapping_spans_csv": _sql("csv STRING", "STRING", f"array_join(transform(array_sort({_PICKED}), x -> concat(x.s, ':', x.e)), ';')"),
+    "ar_snap_snippet_window_json": _sql("t STRING, start INT, stop INT, scan INT DEFAULT 12", "STRING", _WINDOW),
     "ar_levenshtein": _sql("a STRING, b STRING, k INT", "INT", "CASE WHEN k < 0 THEN 0 WHEN levenshtein(a, b) > k THEN k + 1 ELSE levenshtein(a, b) END"),
     "ar_int_to_byte4": _sql("n BIGINT", "INT", f"CAST({_BYTE4} AS INT)"),
     "ar_byte4_to_int": _sql("n INT", "BIGINT", f"CAST({_INT4} AS BIGINT)"),
@@ -190,31 +228,6 @@ def _blob(k1, b, avgdl) -> bytes | None:
     return None if None in (k1, b, avgdl) else np.array(norm_inverse_values(avgdl, k1, b), "<f4").tobytes()
 
 
-def _wildcard(text, pattern) -> int | None:
-    import re
-
-    from .columns import wildcard_regex
-
-    if text is None or pattern is None:
-        return None
-    return int(re.search(wildcard_regex(pattern, False).replace("\\ ", " "), text) is not None)
-
-
-def _stem(t):
-    from .analyzer import stem
-
-    return None if t is None else stem(t)
-
-
-def _span_csv(x):
-    return spans.select_spans_csv(x)
-
-
-def _window(text, start, end, scan=None):
-    s, e = spans.snap_window(text, int(start or 0), int(end or 0), 12 if scan is None else int(scan))
-    return _json({"start": s, "end": e})
-
-
 def _spans_json(found: list[spans.Span]) -> str:
     return _json(_dicts(found))
 
@@ -223,17 +236,11 @@ def _spans_json(found: list[spans.Span]) -> str:
 ROW_FUNCTIONS = {
     "ar_analyze_json": (lambda t: _json(analyze(t)), "string"),
     "ar_analyze_positions_json": (lambda t: _json([{"term": x.term, "position": x.position} for x in analyzer().tokens(t)]), "string"),
-    "ar_normalize": (lambda t, d=None, h=None, l=None, g=None, low=None, wild=None: _normalize(t, d, h, l, g, low, wild), "string"),
-    "ar_stem": (_stem, "string"),
-    "ar_has_sensitive_forms": (_sensitive, "int"),
-    "ar_wildcard_match": (_wildcard, "int"),
     "ar_norm_inverse_cache_blob": (_blob, "binary"),
     "ar_find_all_normalized_match_spans_json": (lambda t, term, n=8: _spans_json(spans.normalized_spans(t, term, n)), "string"),
     "ar_find_all_analyzed_match_spans_json": (lambda t, terms, mode="any", n=8: _spans_json(spans.analyzed_spans(t, _json_list(terms), mode, n)), "string"),
     "ar_highlight_normalized_matches": (lambda t, terms, mode, a, b, n: spans.highlight_normalized(t, _json_list(terms), mode, a, b, n), "string"),
     "ar_highlight_analyzed_matches": (lambda t, terms, mode, a, b, n, raw=None: spans.highlight_analyzed(t, _json_list(terms), mode, a, b, n, _json_list(raw)), "string"),
-    "ar_snap_snippet_window_json": (_window, "string"),
-    "ar_select_non_overlapping_spans_csv": (_span_csv, "string"),
     "ar_render_snippet_with_highlights": (lambda t, s, e, csv: spans.render_snippet(t, int(s or 0), int(e or 0), spans.parse_spans(csv, False)), "string"),
     "ar_build_field_snippet_json": (lambda t, q: _json(spans.build_snippet(t, q)), "string"),
 }

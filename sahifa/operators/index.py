@@ -114,6 +114,13 @@ def book_lengths_of(row_lengths: DataFrame) -> DataFrame:
     return row_lengths.groupBy("field", "book_id").agg(F.sum("len").cast("long").alias("len"))
 
 
+def with_norms(book_lengths: DataFrame, stats: DataFrame) -> DataFrame:
+    """(field, book_id, len, norm): what scoring multiplies a frequency by, worked out once for each book."""
+    avgdl = F.when(F.col("doc_count") > 0, F.col("tokens") / F.col("doc_count")).otherwise(0.0)
+    joined = book_lengths.join(F.broadcast(stats.select("field", avgdl.alias("avgdl"))), "field")
+    return joined.select("field", "book_id", "len", columns.norm_inverse(columns.quantised(F.col("len")), F.col("avgdl")).alias("norm"))
+
+
 def stats_of(docs: DataFrame, book_lengths: DataFrame) -> DataFrame:
     """(field, doc_count, item_count, tokens)."""
     books = book_lengths.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("len").cast("long").alias("tokens"))
@@ -145,7 +152,7 @@ class Index:
         return self.table("docs").where(F.col("field") == name)
 
     def book_lengths(self, name: str) -> DataFrame:
-        return self.table("book_lengths").where(F.col("field") == name).select("book_id", F.col("len").alias("book_len"))
+        return self.table("book_lengths").where(F.col("field") == name).select("book_id", F.col("len").alias("book_len"), "norm")
 
     def row_lengths(self, name: str) -> DataFrame:
         return self.table("row_lengths").where(F.col("field") == name).select("rowid", F.col("len").alias("row_len"))
@@ -199,8 +206,9 @@ def build_index(docs: DataFrame, path: str, options: AnalyzerOptions = DEFAULT,
     row_lengths_of(by_item).write.mode(mode).parquet(f"{path}/row_lengths")
     postings = spark.read.parquet(f"{path}/postings")
     vocab_of(postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode(mode).parquet(f"{path}/vocab")
-    book_lengths_of(spark.read.parquet(f"{path}/row_lengths")).write.mode(mode).parquet(f"{path}/book_lengths")
-    stats_of(docs, spark.read.parquet(f"{path}/book_lengths")).write.mode(mode).parquet(f"{path}/stats")
+    lengths = book_lengths_of(spark.read.parquet(f"{path}/row_lengths"))
+    stats_of(docs, lengths).write.mode(mode).parquet(f"{path}/stats")
+    with_norms(lengths, spark.read.parquet(f"{path}/stats")).write.mode(mode).parquet(f"{path}/book_lengths")
     return load_index(spark, path, options)
 
 

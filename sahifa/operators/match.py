@@ -20,10 +20,11 @@ KEYS = ("rowid", "book_id", "item_id")
 
 @dataclass
 class Counted:
-    """A phrase of the expression: how often it counts in an item, and whether the item holds it at all."""
+    """A phrase of the expression: how often it counts in an item, whether the item holds it at all, and its term if it is just one."""
 
     times: Column
     present: Column
+    term: str | None = None
 
 
 class _Columns:
@@ -78,12 +79,12 @@ def _walk(node, c: _Columns) -> tuple[Column, list[Counted]]:
     """Whether an item matches, and the phrases that count if it does."""
     if isinstance(node, Phrase):
         n = _phrase(node, c)
-        return n > 0, [Counted(n, n > 0)]
+        return n > 0, [Counted(n, n > 0, _one(node))]
     if isinstance(node, Near):
         # A member is one term as a rule; of one that became several, the first word's place counts.
         lists = [c.name("offsets", m.terms[0], m.prefix and len(m.terms) == 1) for m in node.members]
         sizes = [F.size(x) for x in near_places(lists, node.slop)]
-        return sizes[0] > 0, [Counted(n, _phrase(m, c) > 0) for n, m in zip(sizes, node.members)]
+        return sizes[0] > 0, [Counted(n, _phrase(m, c) > 0, _one(m)) for n, m in zip(sizes, node.members)]
     if isinstance(node, (And, Or)):
         found = [_walk(p, c) for p in node.parts]
         hit = found[0][0]
@@ -101,7 +102,11 @@ def _walk(node, c: _Columns) -> tuple[Column, list[Counted]]:
 
 
 def _gated(p: Counted, hit: Column) -> Counted:
-    return Counted(F.when(hit, p.times).otherwise(0), p.present)
+    return Counted(F.when(hit, p.times).otherwise(0), p.present, p.term)
+
+
+def _one(p: Phrase) -> str | None:
+    return p.terms[0] if len(p.terms) == 1 and not p.prefix else None
 
 
 def _grouped(index: Index, field: str, node) -> tuple[DataFrame, Column, list[Counted]]:
@@ -118,13 +123,31 @@ def matches(index: Index, field: str, node) -> DataFrame:
     return rows.where(hit).select(*KEYS)
 
 
+def flags(index: Index, field: str, nodes: list) -> DataFrame:
+    """(rowid, book_id, item_id, f0, f1, ...): which of several expressions each item matches, by one scan; items that match none may be left out."""
+    c = _Columns()
+    found = [_walk(node, c)[0].alias(f"f{i}") for i, node in enumerate(nodes)]
+    if not c.wanted:
+        return index.postings(field).where(F.lit(False)).select(*KEYS, *found)
+    return index.postings(field).where(c.filter()).groupBy(*KEYS).agg(*c.aggregates()).select(*KEYS, *found)
+
+
+def _holding(index: Index, field: str, rows: DataFrame, phrases: list[Counted]) -> list[int]:
+    """How many items hold each phrase: of single terms the lexicon knows it, the others are counted by one more scan."""
+    terms = index.doc_freqs(field, [p.term for p in phrases if p.term is not None])
+    rest = [i for i, p in enumerate(phrases) if p.term is None]
+    counts = rows.agg(*[F.coalesce(F.sum(F.when(phrases[i].present, 1).otherwise(0)), F.lit(0)) for i in rest]).first() if rest else []
+    counted = dict(zip(rest, counts))
+    return [counted[i] if p.term is None else terms[p.term] for i, p in enumerate(phrases)]
+
+
 def row_bm25(index: Index, field: str, node) -> DataFrame:
     """(rowid, book_id, item_id, score) by BM25 over items in double precision, summed over all phrases; lower is better."""
     rows, hit, phrases = _grouped(index, field, node)
     if not phrases:
         return rows.where(F.lit(False)).select(*KEYS, F.lit(0.0).alias("score"))
     stats = index.field_stats(field)
-    holding = rows.agg(*[F.coalesce(F.sum(F.when(p.present, 1).otherwise(0)), F.lit(0)).alias(f"n{i}") for i, p in enumerate(phrases)]).first()
+    holding = _holding(index, field, rows, phrases)
     k1, b = 1.2, 0.75
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("row_len") / F.lit(stats.row_avgdl))
     score = F.lit(0.0)

@@ -15,7 +15,7 @@ from ..plans import syntax
 from ..plans.compiler import Compiled, Compiler, SearchOptions
 from ..plans.syntax import MUST_NOT
 from .index import Index
-from .match import matches, row_bm25
+from .match import flags, matches, row_bm25
 
 HIT = ("book_id", "item_id")
 
@@ -34,7 +34,9 @@ class Ranker:
         self.stats = index.field_stats(field)
 
     def _score(self, weight: Column, tf: Column) -> Column:
-        return (-columns.term_score(weight, tf, F.coalesce("book_len", F.lit(0)), self.stats.avgdl)).cast("float")
+        # Without a length (a null book), as if it were 0.
+        norm = F.coalesce("norm", columns.norm_inverse(F.lit(0), self.stats.avgdl))
+        return (-columns.weighted_score(weight, tf, norm)).cast("float")
 
     def _with_lengths(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.index.book_lengths(self.field), "book_id", "left")
@@ -181,13 +183,14 @@ def boosted_parts(compiler: Compiler, q: str) -> list[tuple[Compiled, float]]:
 def with_clause_boosts(index: Index, compiler: Compiler, hits: DataFrame, q: str) -> DataFrame:
     """hits with their scores times the boosts of the clauses that each one matches."""
     parts = boosted_parts(compiler, q)
-    factor = F.lit(1.0).cast("float")
-    for i, (part, boost) in enumerate(parts):
-        flag = f"_b{i}"
-        hits = hits.join(matches(index, compiler.field, part.node).select(*HIT, F.lit(True).alias(flag)), list(HIT), "left")
-        factor = F.when(F.col(flag), columns.f32_mul(factor, boost)).otherwise(factor)
     if not parts:
         return hits
+    factor = F.lit(1.0).cast("float")
+    for i, (_, boost) in enumerate(parts):
+        factor = F.when(F.col(f"_b{i}"), columns.f32_mul(factor, boost)).otherwise(factor)
+    # One scan of the postings says of all clauses which items they match.
+    found = flags(index, compiler.field, [part.node for part, _ in parts])
+    hits = hits.join(found.select(*HIT, *[F.col(f"f{i}").alias(f"_b{i}") for i in range(len(parts))]), list(HIT), "left")
     score = F.when(F.abs(factor - 1) >= 1e-12, columns.f32_mul(F.col("score"), factor).cast("double")).otherwise(F.col("score").cast("double"))
     return hits.select(*HIT, score.alias("score"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import spread
@@ -40,17 +40,11 @@ def from_jsonl(rows: DataFrame, book_id: int = 1) -> DataFrame:
     return each.select("f.field", "rowid", F.lit(book_id).cast("long").alias("book_id"), F.col("rowid").alias("item_id"), "f.text").where("text is not null")
 
 
-def letters_only(text: Column) -> Column:
-    """The text's ASCII letters in lower case, with one space for all else; the analyser splits it at spaces."""
-    return F.lower(F.regexp_replace(text, "[^A-Za-z ]+", " "))
-
-
-def table_documents(spark: SparkSession, folder: str, plain: bool = False) -> DataFrame:
+def table_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The tables documents (pages of books, a book for each source) and pages (titles) as docs."""
-    shape = letters_only if plain else (lambda c: c)
     docs = spread(spark.read.parquet(f"{folder}/documents.parquet"))
-    page = docs.select(F.lit("page").alias("field"), F.col("doc_id").alias("rowid"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("book_id"), F.col("doc_id").alias("item_id"), shape(F.col("text")).alias("text"))
+    page = docs.select(F.lit("page").alias("field"), F.col("doc_id").alias("rowid"), F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("book_id"), F.col("doc_id").alias("item_id"), "text")
     pages = spread(spark.read.parquet(f"{folder}/pages.parquet"))
     text = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    title = pages.select(F.lit("title").alias("field"), F.col("page_id").alias("rowid"), (F.col("page_id") % 10).alias("book_id"), F.col("page_id").alias("item_id"), shape(text).alias("text"))
+    title = pages.select(F.lit("title").alias("field"), F.col("page_id").alias("rowid"), (F.col("page_id") % 10).alias("book_id"), F.col("page_id").alias("item_id"), text.alias("text"))
     return page.unionByName(title)

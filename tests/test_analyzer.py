@@ -83,9 +83,9 @@ def encode(n):
 
 def test_lengths_as_bytes(spark):
     data = [*range(300), *(2**k + d for k in range(9, 31) for d in (-1, 0, 1)), 2**31 - 1]
-    rows = values(spark, [(n,) for n in data], "n long", code=C.int_to_byte4(F.col("n")), kept=C.quantised(F.col("n")))
+    rows = values(spark, [(n,) for n in data], "n long", code=C.int_to_byte4(F.col("n")), kept=C.quantised(F.col("n")), back=C.byte4_to_int(C.int_to_byte4(F.col("n"))))
     for n, r in zip(data, rows):
-        assert r.code == encode(n) and r.kept <= n and encode(r.kept) == r.code
+        assert r.code == encode(n) and r.kept <= n and encode(r.kept) == r.code and r.back == r.kept
     for bad in (C.int_to_byte4(F.lit(-1).cast("long")), C.byte4_to_int(F.lit(256))):
         with pytest.raises(Exception, match="byte|negative"):
             spark.range(1).select(bad).collect()
