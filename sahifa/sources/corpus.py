@@ -28,13 +28,11 @@ def search_views(page_map: DataFrame, title_map: DataFrame) -> None:
         rows.drop("source_sha1", "ingested_at").createOrReplaceTempView(name)
 
 
-def title_paths(title_map: DataFrame, most: int = 16) -> DataFrame:
-    """(rowid, path): each title's ids from its topmost ancestor down; a parent that isn't there ends the path, at `most` levels at most."""
+def title_paths(title_map: DataFrame) -> DataFrame:
+    """(rowid, path): each title's ids from its topmost ancestor down; a parent that isn't there, or is in the path already, ends it."""
     path = title_map.select("rowid", "book_id", F.array("title_id").alias("path"), F.col("title_parent_id").alias("up"))
     parents = title_map.select(F.col("book_id").alias("b"), F.col("title_id").alias("t"), F.col("title_parent_id").alias("next"))
-    for _ in range(most):
-        if not path.where("up is not null").limit(1).count():
-            break
-        joined = path.join(parents, (F.col("book_id") == F.col("b")) & (F.col("up") == F.col("t")), "left")
-        path = joined.select("rowid", "book_id", F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat(F.array("t"), "path")).alias("path"), "next").withColumnRenamed("next", "up")
+    while path.where("up is not null").limit(1).count():
+        joined = path.join(parents, (F.col("book_id") == F.col("b")) & (F.col("up") == F.col("t")) & ~F.array_contains("path", F.col("t")), "left")
+        path = joined.select("rowid", "book_id", F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat(F.array("t"), "path")).alias("path"), F.col("next").alias("up"))
     return path.select("rowid", "path")

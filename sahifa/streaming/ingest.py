@@ -41,7 +41,9 @@ def write_batch(path: str, options: AnalyzerOptions = DEFAULT):
         new = latest(batch, KEYS, ["source_sha1"]).withColumn("version", F.lit(number).cast("long"))
         held = _versions(spark, path)
         if held is not None:
-            known = latest(held.where(F.col("batch") < number), KEYS, ["version"]).select(*KEYS, "source_sha1")
+            # Only the history of items that came again is put in order.
+            again = held.where(F.col("batch") < number).join(new.select(*KEYS), KEYS, "left_semi")
+            known = latest(again, KEYS, ["version"]).select(*KEYS, "source_sha1")
             new = new.join(known, [*KEYS, "source_sha1"], "left_anti")
         target = f"{path}/items/batch={number}"
         new.select(*KEYS, "book_id", "item_id", "text", "source_deleted", "source_sha1", "version").write.mode("overwrite").parquet(target)

@@ -241,12 +241,12 @@ def test_native_profile_and_one_call(engine):
 def test_canonical_corpus(spark, tmp_path):
     item = (0, "", None)
     pages = spark.createDataFrame([(1, 7, 70, 1, *item), (2, 7, 71, 2, *item)], corpus.PAGE_MAP_SCHEMA)
-    titles = spark.createDataFrame([(1, 7, 1, 1, None, *item), (2, 7, 2, 2, 1, *item), (3, 7, 3, 3, 2, *item), (4, 8, 4, 1, 99, *item)], corpus.TITLE_MAP_SCHEMA)
+    titles = spark.createDataFrame([(1, 7, 1, 1, None, *item), (2, 7, 2, 2, 1, *item), (3, 7, 3, 3, 2, *item), (4, 8, 4, 1, 99, *item), (5, 9, 5, 1, 6, *item), (6, 9, 6, 1, 5, *item)], corpus.TITLE_MAP_SCHEMA)
     bodies = spark.createDataFrame([(1, "a fox"), (2, "a box")], corpus.PAGE_STORE_SCHEMA)
     names = spark.createDataFrame([(1, "fox"), (2, "x"), (3, "y"), (4, "z")], corpus.TITLE_STORE_SCHEMA)
     found = Engine(build_index(corpus.docs_of(pages, bodies, titles, names), str(tmp_path / "i"))).search("fox", "both").rows()
     assert {(r["field"], r["book_id"], r["item_id"]) for r in found} == {("page", 7, 70), ("title", 7, 1)}
-    assert {r.rowid: r.path for r in corpus.title_paths(titles).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [4]}
+    assert {r.rowid: r.path for r in corpus.title_paths(titles).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [4], 5: [6, 5], 6: [5, 6]}
     corpus.search_views(pages, titles)
     assert "source_sha1" not in spark.table("v_page_search_docs").columns
 
