@@ -6,19 +6,23 @@ for unlisted, and so on until a filter errs on no key. A key of the universe is
 doesn't know it is at an even place (counted from one), which is exact: no key is joined with the list.
 
 Keys are split into shards by their hash, as many as keep a shard's keys to SHARD_KEYS, and each shard's cascade
-is built by one task. Cascades of up to SENT_BYTES in all are sent to every executor and the pages aren't
-shuffled; larger ones meet the pages' key hashes shard by shard.
+is built by one task. Pages are asked where they lie, by filters sent to every executor, while these have SENT_BYTES
+at most in all; beyond that the pages are dealt out by their keys' shards, each shard's over SALTS tasks' shares, so
+that a URL that many pages have is no task's alone, and a task reads one shard's filters at a time. Either way a
+page is decided by probing filters, and never by a join.
 
 A key is the URL in lower case without scheme, leading "www.", query, fragment and closing slashes. A null URL
 has no key and is never listed; an empty one has the empty key, which can be listed. Null and repeated keys in
-the list count once or not at all. Rows with the same URL are decided alike. An empty list rejects nothing.
+the list count once or not at all. Rows with the same URL are decided alike. An empty list rejects nothing, an empty
+table of pages gives an empty one. Columns of any name stay as they are: the operator's own get names that pages lacks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import Iterator, Tuple  # noqa: UP035 - pandas UDFs know only these
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ from . import common
 
 SHARD_KEYS = 2_000_000
 SENT_BYTES = 64 << 20
+SALTS = 64
 FIRST_BITS, LATER_BITS = 8, 2
 MOST_LEVELS = 200
 #: A page with a title like this has its URL listed, in the registered query.
@@ -74,27 +79,30 @@ def build_cascade(h0: np.ndarray, h1: np.ndarray, listed: np.ndarray) -> list[tu
 
 
 def ask_cascade(levels: list[tuple[int, int, bytes]], h0: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    """Whether each key is listed."""
+    """Whether each key is listed; a filter's bits are looked up where they are packed."""
     out = np.zeros(len(h0), bool)
     left = np.arange(len(h0))
     for level, (bits, k, data) in enumerate(levels, 1):
-        filled = np.unpackbits(np.frombuffer(data, np.uint8))[:bits].astype(bool)
-        known = filled[_probes(h0[left], h1[left], level, k, bits)].all(1)
+        if not len(left):
+            return out
+        packed = np.frombuffer(data, np.uint8)
+        at = _probes(h0[left], h1[left], level, k, bits).astype(np.int64)
+        known = ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
         out[left[~known]] = level % 2 == 0
         left = left[known]
     out[left] = len(levels) % 2 == 1
     return out
 
 
-def shard_of(h0: np.ndarray, shards: int) -> np.ndarray:
-    return (common.mix64(h0 + np.uint64(77)) % np.uint64(shards)).astype(np.int32)
+def shard_of(h0: F.Column, shards: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), h0), F.lit(shards)).cast("int")
 
 
 class Cascade:
-    """A table of filters (shard, level, bits, probes, data), split into shards."""
+    """A table of filters (shard, level, bits, probes, data), split into shards, and where it lies."""
 
-    def __init__(self, table: DataFrame, shards: int):
-        self.table, self.shards = table, shards
+    def __init__(self, table: DataFrame, shards: int, path: str):
+        self.table, self.shards, self.path = table, shards, path
 
     def bytes(self) -> int:
         return int(self.table.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0])
@@ -109,19 +117,14 @@ def cascade(universe: DataFrame, listed: DataFrame, scratch: common.Scratch, sha
     keys = scratch.write(rows.groupBy("h0", "h1").agg(F.max("listed").alias("listed")), "keys")
     shards = max(1, -(-keys.count() // shard_keys))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = shard_of(b.column(0).to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns], names=["shard", "h0", "h1", "listed"])
-
     def build(key, t):
         h0, h1 = (t.column(c).to_numpy().view(np.uint64) for c in ("h0", "h1"))
         levels = build_cascade(h0, h1, t.column("listed").to_numpy())
         return pa.table({"shard": pa.array([key[0].as_py()] * len(levels), pa.int32()), "level": pa.array(range(1, len(levels) + 1), pa.int32()), "bits": pa.array([x[0] for x in levels], pa.int64()), "probes": pa.array([x[1] for x in levels], pa.int32()), "data": pa.array([x[2] for x in levels], pa.binary())})
 
-    marked = keys.mapInArrow(mark, "shard int, h0 long, h1 long, listed boolean")
+    marked = keys.select(shard_of(F.col("h0"), shards).alias("shard"), "h0", "h1", "listed")
     made = marked.groupBy("shard").applyInArrow(build, "shard int, level int, bits long, probes int, data binary")
-    return Cascade(scratch.write(made, "cascade"), shards)
+    return Cascade(scratch.write(made, "cascade"), shards, scratch.path("cascade"))
 
 
 def _levels(rows) -> dict[int, list[tuple[int, int, bytes]]]:
@@ -131,44 +134,45 @@ def _levels(rows) -> dict[int, list[tuple[int, int, bytes]]]:
     return out
 
 
+def read_levels(path: str, shard: int) -> list[tuple[int, int, bytes]]:
+    """One shard's filters, from where they lie."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    at, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    found = ds.dataset(root, filesystem=at, format="parquet").to_table(filter=ds.field("shard") == shard)
+    return _levels(zip(*(found.column(c).to_pylist() for c in ("shard", "level", "bits", "probes", "data")))).get(shard, [])
+
+
 def unlisted(pages: DataFrame, found: Cascade, url: str = "url", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The rows of pages whose URL isn't listed; every key must be of the cascade's universe."""
-    spark, shards = pages.sparkSession, found.shards
+    spark, path = pages.sparkSession, found.path
     key = url_key(F.col(f"`{url}`"))
-    schema = pages.schema
-    if found.bytes() <= sent_bytes:
-        sent = spark.sparkContext.broadcast(_levels(found.table.collect()))
-
-        @F.pandas_udf("boolean")
-        def is_listed(h0, h1):
-            import pandas as pd
-
+    h0, h1 = hashes(key)
+    shard = shard_of(h0, found.shards)
+    sent = spark.sparkContext.broadcast(_levels(found.table.collect())) if found.bytes() <= sent_bytes else None
+
+    @F.pandas_udf("boolean")
+    def is_listed(batches: Iterator[Tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, kept = -1, []
+        for h0, h1, shard in batches:
             a, b = h0.to_numpy().view(np.uint64), h1.to_numpy().view(np.uint64)
-            shard, out = shard_of(a, shards), np.zeros(len(a), bool)
-            for s in np.unique(shard):
-                at = np.flatnonzero(shard == s)
-                out[at] = ask_cascade(sent.value.get(int(s), []), a[at], b[at])
-            return pd.Series(out)
-
-        return pages.where(key.isNull() | ~is_listed(*hashes(key)))
-    # Ask once for each key's hashes, where its shard's filters are; pages then drop the listed ones by hash.
-    asked = pages.select(*hashes(key)).where(key.isNotNull()).distinct()
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(b.column(0).to_numpy().view(np.uint64), shards)), *b.columns], names=["shard", "h0", "h1"])
-
-    def ask(left, right):
-        levels = _levels(zip(*(right.column(c).to_pylist() for c in ("shard", "level", "bits", "probes", "data"))))
-        shard = left.column("shard")[0].as_py() if len(left) else -1
-        known = ask_cascade(levels.get(shard, []), *(left.column(c).to_numpy().view(np.uint64) for c in ("h0", "h1")))
-        return left.select(["h0", "h1"]).filter(pa.array(known))
-
-    marked = asked.mapInArrow(mark, "shard int, h0 long, h1 long")
-    gone = marked.groupBy("shard").cogroup(found.table.groupBy("shard")).applyInArrow(ask, "h0 long, h1 long")
-    gone = gone.select(F.col("h0").alias("__h0"), F.col("h1").alias("__h1"))
-    h0, h1 = (c for c in hashes(key))
-    return spark.createDataFrame([], schema).union(pages.join(gone, (h0 == F.col("__h0")) & (h1 == F.col("__h1")) & key.isNotNull(), "left_anti"))
+            of, out = shard.to_numpy(), np.zeros(len(h0), bool)
+            for s in np.unique(of):
+                if sent is None and s != held:
+                    held, kept = s, read_levels(path, int(s))
+                at = np.flatnonzero(of == s)
+                out[at] = ask_cascade(kept if sent is None else sent.value.get(int(s), []), a[at], b[at])
+            yield pd.Series(out)
+
+    if sent is not None:
+        return pages.where(key.isNull() | ~is_listed(h0, h1, shard))
+    # Dealt out by shard and a part of the whole row's hash, and sorted: a task has one shard's rows after another's.
+    names = common.fresh(pages, "shard", "part")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), F.lit(SALTS))
+    dealt = pages.withColumns({names[0]: F.when(key.isNull(), -1).otherwise(shard), names[1]: part})
+    dealt = dealt.repartition(common.partitions(spark), *names).sortWithinPartitions(names[0])
+    return dealt.where((F.col(names[0]) < 0) | ~is_listed(h0, h1, F.col(names[0]))).drop(*names)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", shard_keys: int = SHARD_KEYS, sent_bytes: int = SENT_BYTES) -> DataFrame:

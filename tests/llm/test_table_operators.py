@@ -42,10 +42,11 @@ def test_url_filter_against_a_set(spark, shard_keys, sent_bytes):
         return u.removeprefix("www.").split("?")[0].split("#")[0].rstrip("/")
 
     bad = {key(u) for u in listed if u is not None}
-    pages = spark.createDataFrame(rows, "page_id long, url string, key int, h0 string")
+    pages = spark.createDataFrame([(*r[:2], r[2], r[2], r[3]) for r in rows], "page_id long, url string, shard int, part int, h0 string")
     found = urlfilter.filter_urls(pages, spark.createDataFrame([(u,) for u in listed], "url string"), shard_keys=shard_keys, sent_bytes=sent_bytes)
     assert found.columns == pages.columns
     assert sorted(r.page_id for r in found.collect()) == [i for i, u, *_ in rows if u is None or key(u) not in bad]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_url_filter_of_nothing(spark):
