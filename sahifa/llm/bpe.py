@@ -36,9 +36,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-splitting into words, as the public byte-level vocabularies have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker keeps; beyond that it starts anew, which costs time and changes nothing.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 #: Slots of the transition table: a power of two. Once half are taken it is emptied, with the same effect.
-ARC_SLOTS = 1 << 21
+ARC_SLOTS = 1 << 20
 #: Longer words are read by themselves, as there are few of a length to read together.
 TOGETHER = 300
 
@@ -127,7 +127,10 @@ class Automaton:
         self._read_bytes(read)
 
     def _read_bytes(self, tokens: list[tuple[bytes, int]]) -> None:
-        """The table of bytes: `go` from each node by each byte, `ends` the longest token ending at a node, `shorter` the next one."""
+        """The table of bytes: `go` from each node's row by each byte, `ends` the longest token ending at a node, `shorter` the next one.
+
+        Nodes that nothing goes on from share the row of the node that the text without its first byte leads to.
+        """
         step: dict[tuple[int, int], int] = {}
         token_of, levels = [-1], [[(0, 0, 0)]]
         for token, rank in tokens:
@@ -142,22 +145,29 @@ class Automaton:
                     levels[depth].append((to, at, byte))
                 at = to
             token_of[at] = rank
-        go = np.zeros((len(token_of), 256), np.int32)
-        back, ends = np.zeros(len(token_of), np.int32), np.array(token_of, np.int32)
+        n = len(token_of)
+        inner = np.zeros(n, bool)
+        inner[[at for at, _ in step]] = inner[0] = True
+        del step
+        row = np.cumsum(inner) - 1
+        go = np.zeros((int(inner.sum()), 256), np.int32)
+        back, ends = np.zeros(n, np.int32), np.array(token_of, np.int32)
         self.shorter = np.full(self.size, -1, np.int32)
         for depth, level in enumerate(levels):
             node, parent, byte = np.array(level).T
             if depth:
                 # Where the text without its first byte leads.
-                back[node] = go[back[parent], byte] if depth > 1 else 0
+                back[node] = go[row[back[parent]], byte] if depth > 1 else 0
                 own = ends[node] >= 0
                 self.shorter[ends[node[own]]] = ends[back[node[own]]]
                 ends[node] = np.where(own, ends[node], ends[back[node]])
-                go[node] = go[back[node]]
+                row[node] = np.where(inner[node], row[node], row[back[node]])
+                goes_on = node[inner[node]]
+                go[row[goes_on]] = go[row[back[goes_on]]]
             if depth + 1 < len(levels):
                 child, parent, byte = np.array(levels[depth + 1]).T
-                go[parent, byte] = child
-        self.go, self.ends = go.ravel(), ends
+                go[row[parent], byte] = child
+        self.go, self.row, self.ends = go.ravel(), row.astype(np.int32), ends
 
     def arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether the state after one token has an arc for another: what the gadgets left of it."""
@@ -200,10 +210,10 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         order = order[(size[order] > 0) & (size[order] <= TOGETHER)]
         at, count = begin[order], size[order]
-        node = np.zeros(len(order), np.int64)
+        node = np.zeros(len(order), np.int32)
         for i in range(int(count[0]) if len(count) else 0):
             n = int(np.searchsorted(-count, -i, side="left"))
-            node = self.go[(node[:n] << 8) | raw[at[:n]]].astype(np.int64)
+            node = self.go[(self.row[node[:n]].astype(np.int64) << 8) | raw[at[:n]]]
             self._settle(state, at[:n], self.ends[node], i)
             at = at[:n] + 1
         # From each word's end back to its begin: the tokens of its path.
@@ -234,10 +244,10 @@ class Automaton:
 
     def _read_one(self, word: bytes) -> list[int]:
         """The states after each byte of a long word, by the same tables."""
-        go, ends, shorter, length = (memoryview(np.ascontiguousarray(x)) for x in (self.go, self.ends, self.shorter, self.length))
+        go, row, ends, shorter, length = (memoryview(np.ascontiguousarray(x)) for x in (self.go, self.row, self.ends, self.shorter, self.length))
         state, node, known = [], 0, {}
         for i, byte in enumerate(word):
-            node = go[node << 8 | byte]
+            node = go[row[node] << 8 | byte]
             token = ends[node]
             while token >= 0 and length[token] <= i:
                 key = state[i - length[token]], token

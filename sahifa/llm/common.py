@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from pathlib import Path
@@ -51,11 +52,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    """Results are read from written tables, so what an operator can't delete itself goes when the driver ends."""
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone
+            return
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        _made.append((spark, self.at))
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -76,11 +98,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            delete(self.spark, self.path(name))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -141,6 +160,18 @@ def kept_powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forgetting(run):
+    """run(batches), and then the kept powers are gone: a worker goes on to other work, and memory is its executor's."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+
+    return whole
+
+
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

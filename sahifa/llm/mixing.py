@@ -114,7 +114,9 @@ def cuts(docs: DataFrame, weights: dict | None, total_tokens: int | None, others
     fits = summed.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
     fits = fits.where("rest > 0 and upto <= rest").groupBy("source").agg(F.max(F.struct("key", F.coalesce("id", F.lit(-(2**63))).alias("id"))).alias("cut")).select(F.col("source").alias("s"), "cut")
     plan = plan.join(fits, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "epochs", F.col("cut.key").alias("cut_key"), F.col("cut.id").alias("cut_id"))
-    return scratch.write(plan, "plan"), rows
+    plan = scratch.write(plan, "plan")
+    scratch.drop("ordered")
+    return plan, rows
 
 
 def mix(docs: DataFrame, weights: dict | None = None, total_tokens: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, epoch: str | None = None, others: float = 0.0, sent_sources: int = SENT_SOURCES) -> DataFrame:

@@ -5,7 +5,8 @@ own, and the same of the lines before and after it. The field adds weights for t
 lines; its marginals come from the forward-backward recursion. A document's quality is the mean of its lines'
 probabilities of being good, weighted by their length in bytes; documents of at least THRESHOLD are accepted.
 
-It is fitted on at most SAMPLE_DOCS labelled documents, those of least hashed doc_id. The labels are of whole
+It is fitted on at most SAMPLE_DOCS labelled documents, those of least hashed doc_id, as many of them as have
+SAMPLE_LINES lines in all; scoring takes every line of every document. The labels are of whole
 documents: at first all lines of a bad one count as bad; then only those that the field itself finds bad (or,
 if none, its worst), and it is fitted again. Lines without words say nothing. A document that is null, empty
 or only white space has quality 0 and is rejected. Without labelled rows of both kinds there is nothing to
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS, SAMPLE_LINES = 3000, 400_000
 THRESHOLD = 0.5
 SWEEPS, RATE, RIDGE = 250, 0.08, 1e-3
 
@@ -172,12 +173,18 @@ def document_scores(field: Field, array: pa.Array) -> tuple[np.ndarray, np.ndarr
     return quality, np.bincount(row, minlength=n), np.bincount(row, weights=good < 0.5, minlength=n).astype(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Fit the field on at most sample_docs labelled documents; features are made on the executors."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field:
+    """Fit the field on at most sample_docs labelled documents of at most sample_lines lines; features are made on the executors."""
     common.ship(docs.sparkSession)
-    labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__good"))
+    labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__good"))
     chosen = labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__good", "__text")
+    # Rows with one doc_id count together; of at most sample_docs ids the driver gets how many lines each has.
+    sizes = rows.groupBy("__id").agg(F.sum(1 + F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit("")))).alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()
+    upto = np.cumsum([r["n"] for r in sizes]) if sizes else np.zeros(0)
+    kept = {int(r["__id"]) for r, total in zip(sizes, upto) if total <= sample_lines}
+    if len(kept) < len(sizes):
+        rows = rows.where(F.col("__id").isin(sorted(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "__text"):
@@ -186,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at).cast(pa.int32()), lists], names=["id", "good", "x"])
 
-    found = rows.mapInArrow(run, "id long, good int, x array<float>").toArrow()
+    found = rows.mapInArrow(common.forgetting(run), "id long, good int, x array<float>").toArrow()
     field = Field()
     good = found.column("good").to_numpy()
     if len(set(good.tolist())) < 2:
@@ -217,7 +224,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", quality: str = "qua
             found = document_scores(field, batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.forgetting(run), schema)
 
 
 def accept(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS, scores: tuple[str, ...] = ()) -> DataFrame:

@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(prints[:, i].view(np.int64)) for i in range(2))], names=["id", "p0", "p1"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.lower(F.col(f"`{text}`")).alias("words"))
-    return rows.where("id is not null and words is not null").mapInArrow(run, "id long, p0 long, p1 long")
+    return rows.where("id is not null and words is not null").mapInArrow(common.forgetting(run), "id long, p0 long, p1 long")
 
 
 def bucket_keys(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -330,14 +330,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         begin = start[occurrence] + run[at] - total[kind[occurrence]]
         yield pa.RecordBatch.from_arrays([pa.array(row[occurrence]), pa.array(doc[occurrence]), pa.array(begin.astype(np.int32)), pa.array((begin + length[at] - 1 + words).astype(np.int32)), pa.array(doc[whose])], names=["row", "doc_id", "start", "end", "kept_in"])
 
-    found = rows.select("row", "text").mapInArrow(anchors, "h long, row long, pos int")
+    found = rows.select("row", "text").mapInArrow(common.forgetting(anchors), "h long, row long, pos int")
     found = found.repartition(n, "h").sortWithinPartitions("h", "row", "pos").mapInArrow(repeated, "row long, pos int")
     found = scratch.write(found.groupBy("row").agg(F.collect_list("pos").alias("at")), "anchors")
+    # The texts are shuffled at every size, to where their anchors are, which are a fraction of them.
     # As many tasks as keep the stretches of each to about TASK_BYTES.
     places = found.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     tasks = max(n, -(-int(places) * STRETCH_BYTES // TASK_BYTES))
-    texts = rows.join(found, "row").select("row", "doc_id", "text", "at").mapInArrow(stretches, "h long, row long, doc_id long, start int, lead int, count int, text binary")
-    marked = scratch.write(texts.repartition(tasks, "h").mapInArrow(marks, "row long, doc_id long, start int, end int, kept_in long"), "marks")
+    texts = rows.join(found.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "at").mapInArrow(common.forgetting(stretches), "h long, row long, doc_id long, start int, lead int, count int, text binary")
+    marked = scratch.write(texts.repartition(tasks, "h").mapInArrow(common.forgetting(marks), "row long, doc_id long, start int, end int, kept_in long"), "marks")
     # Marks that overlap or touch are one.
     by = Window.partitionBy("row", "kept_in").orderBy("start", "end")
     upto = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -389,7 +390,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     key = F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
     known = F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()
-    joined = docs.join(cuts, F.when(known, key) == F.col(row), "left").select(*[F.col(f"`{c}`") for c in names], starts, ends)
+    joined = docs.join(cuts.hint("shuffle_hash"), F.when(known, key) == F.col(row), "left").select(*[F.col(f"`{c}`") for c in names], starts, ends)
     cut_docs = joined.mapInArrow(cut, schema)
     if length is None or length not in names:
         return cut_docs

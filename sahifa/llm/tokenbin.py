@@ -106,6 +106,7 @@ def dictionary(rows: DataFrame, scratch: common.Scratch, most: int = DICTIONARY_
         found = scratch.write(found.groupBy(F.pmod(F.xxhash64("n"), F.lit(groups)).alias("g")).applyInArrow(merge, "n long, d binary"), f"dictionary{level}")
         count = found.count()
     parts = [bytes(r.d) for r in found.orderBy("n").collect()]
+    scratch.drop(*[f"dictionary{i}" for i in range(level + 1)])
     return train(pieces(parts), most) if len(parts) > 1 else b"".join(parts)
 
 
