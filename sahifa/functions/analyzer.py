@@ -252,6 +252,7 @@ class Analyzer:
         self.options = options
         self.stop = STOP_WORDS if options.stop_words is None else options.stop_words
         self.kept: dict[str, tuple[str, ...]] = {}
+        self.stretches: dict[str, tuple[str | None, ...]] = {}
 
     def _terms(self, raw: str) -> tuple[str, ...]:
         folded = raw.translate(FOLD)
@@ -294,6 +295,43 @@ class Analyzer:
                     position += 1
         return out
 
+    def _stretch(self, s: str) -> tuple[str | None, ...]:
+        """What a stretch holds: terms, None for a stop word."""
+        out: list[str | None] = []
+        for _, raw in raw_tokens(s):
+            terms = self._terms(raw)
+            out += (None,) if terms is STOPPED else terms
+        if len(self.stretches) >= KEPT_TOKENS:
+            self.stretches.clear()
+        found = self.stretches[s] = tuple(out)
+        return found
+
+    def places(self, text: str | None) -> dict[str, tuple[list[int], list[int]]]:
+        """A document's terms with their offsets and positions, by the rules of tokens(document=True); sentinels have no positions."""
+        found: dict[str, tuple[list[int], list[int]]] = {}
+        if not text:
+            return found
+        if self.options.honorifics:
+            text = text.translate(_HONORIFIC)
+        known, offset, position = self.stretches.get, 0, 0
+        for s in _STRETCH.findall(text):
+            terms = known(s)
+            if terms is None:
+                terms = self._stretch(s)
+            for term in terms:
+                if term is None:
+                    position += 1
+                    continue
+                at = found.get(term)
+                if at is None:
+                    at = found[term] = ([], [])
+                at[0].append(offset)
+                offset += 1
+                if term != SENTINEL:
+                    at[1].append(position)
+                    position += 1
+        return found
+
     def terms(self, text: str | None) -> list[str]:
         return [t.term for t in self.tokens(text)]
 

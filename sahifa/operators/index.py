@@ -52,21 +52,11 @@ def postings_of(docs: DataFrame, options: AnalyzerOptions = DEFAULT) -> DataFram
             offsets: list[list[int]] = []
             positions: list[list[int]] = []
             for i, text in enumerate(batch.column(4).to_pylist()):
-                if not text:
-                    continue
-                found: dict[str, tuple[list[int], list[int]]] = {}
-                for t in own.tokens(text, document=True):
-                    at = found.get(t.term)
-                    if at is None:
-                        at = found[t.term] = ([], [])
-                    at[0].append(t.offset)
-                    if options is DEFAULT or options == DEFAULT:
-                        if t.term != SENTINEL:
-                            at[1].append(t.position)
+                found = own.places(text)
                 if options != DEFAULT:
-                    for t in plain.tokens(text):
-                        if t.term in found:
-                            found[t.term][1].append(t.position)
+                    # Phrases are counted by the positions that queries have.
+                    at = plain.places(text)
+                    found = {term: (o, at[term][1] if term in at else []) for term, (o, _) in found.items()}
                 row += [i] * len(found)
                 for term, (o, p) in found.items():
                     terms.append(term)

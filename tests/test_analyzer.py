@@ -119,3 +119,17 @@ def test_phrase_frequency(spark):
             gaps = [0, *sorted(rng.sample(range(1, 6), n - 1))]
             rows = values(spark, data, "p array<array<int>>", x=C.phrase_frequency([F.col("p")[i] for i in range(n)], gaps, slop))
             assert [r.x for r in rows] == [chains(p, gaps, slop) for (p,) in data]
+
+
+def test_places_are_those_of_the_tokens():
+    rng = random.Random(12)
+    letters = "اأإلوهيةىنتفكًـ٣ 7aB_.:'’;,،é "
+    for options in (A.AnalyzerOptions(), A.AnalyzerOptions.parse("stopwords", "a,في", "honorific_expansions")):
+        own = A.Analyzer(options)
+        for text in [None, "", "ـ a ﷺ في", *("".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500))]:
+            want = {}
+            for t in own.tokens(text, document=True):
+                o, p = want.setdefault(t.term, ([], []))
+                o.append(t.offset)
+                p += [t.position] * (t.term != A.SENTINEL)
+            assert own.places(text) == want
