@@ -402,3 +402,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Every repeated passage that is cut: its document, its words from start to before end, and where it stays."""
     found = repeated_passages(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "kept_in")
+
+
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\t\n\x0b\x0c\r ]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+passages AS (
+  SELECT doc_id, unnest([md5(array_to_string(words[i + 1:i + {WORDS}], ' ')) for i in range(len(words) - {WORDS - 1})]) AS passage, unnest(range(len(words) - {WORDS - 1})) AS place
+  FROM w WHERE len(words) >= {WORDS}),
+firsts AS (SELECT *, first(doc_id) OVER same AS kept_in, row_number() OVER same AS n FROM passages WINDOW same AS (PARTITION BY passage ORDER BY doc_id, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+again AS (SELECT doc_id, kept_in, place, CASE WHEN place <= lag(place) OVER runs + {WORDS} THEN 0 ELSE 1 END AS new FROM firsts WHERE n > 1 WINDOW runs AS (PARTITION BY doc_id, kept_in ORDER BY place)),
+marked AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kept_in ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM again)
+SELECT doc_id, CAST(min(place) AS INTEGER) AS start_word, CAST(max(place) + {WORDS} AS INTEGER) AS end_word, kept_in FROM marked GROUP BY doc_id, kept_in, run
+"""

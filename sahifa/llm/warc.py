@@ -9,7 +9,8 @@ frame; one frame is read and decompressed for it. Ordinary zstd tools read a bun
 Rows with the same contents give as many records, with the same record id. Null page ids stay null; a null url
 has no WARC-Target-URI; a null payload is an empty block with the header X-Payload: null, so it differs from an
 empty one when read back. A record larger than a frame has a frame to itself. Columns other than the three are
-left out. An empty table gives no bundle.
+left out. A line's end within a url would end its header, so CR and LF are written, and read back, as %0D and %0A.
+An empty table gives no bundle.
 """
 
 from __future__ import annotations
