@@ -5,14 +5,16 @@ vector is in layer 0, one in M of a layer is in the one above, and a vector's li
 nearer to a link it has already. A search goes down from the top and keeps a beam in layer 0.
 
 The beam's width is set by audit, shard by shard: one vector in AUDIT (at least AUDIT_LEAST) is turned to the
-threshold's angle in a random direction, and the beam is doubled until searches find RECALL of all that brute
+threshold's angle in a random direction, and the beam is widened by half until searches find RECALL of all that brute
 force finds for these probes, in all and in the mean of each, without those of full beams; if no beam does, the shard is searched by brute force. Every vector asks every
-shard. A query whose beam has only near-duplicates in it may have missed some, and is done again by brute force
+shard, in blocks: a task holds a block and a shard at a time. A query whose beam has only near-duplicates in it may have missed some, and is done again by brute force
 in that shard, so large groups aren't cut off. What is found is verified by its cosine, linked, and unioned to
 connected components; of each the least id stays.
 
-Vectors that are the same bit for bit are one in the graphs. Rows that `vectors.clean` leaves out, and vectors
-of length zero, are in no group. An empty table gives an empty one.
+Every vector gets its class, the least id of its component, and its links, the number of other vectors that are
+near it. Vectors that are the same bit for bit are one in the graphs, so that copies aren't counted as links. Rows
+that `vectors.clean` leaves out, and vectors of length zero, are in no class. An empty table gives an empty one.
+Columns other than the two that are named aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from . import common, vectors
 from .components import components, local_roots
 
 COSINE = 0.9
-SHARD = 16384
+SHARD = 32_768
 M, BUILD_BEAM = 16, 64
 AUDIT, AUDIT_LEAST, RECALL = 64, 64, 0.97
 FIRST_BEAM = 16
 BATCH = 1024
+#: Vectors that a task asks with at a time, and in all.
+BLOCK, TASK_VECTORS = 8192, 65_536
 SEED = 7
 
 
@@ -40,32 +44,53 @@ def _sims(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.matmul(x[ids], q[:, :, None])[:, :, 0]
 
 
+_kept: list[np.ndarray] = [np.zeros(0, bool), np.zeros(0, np.int16)]
+
+
+def _flags(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of n, one of them False throughout; their memory is used again."""
+    if len(_kept[0]) < n:
+        _kept[:] = np.zeros(n, bool), np.zeros(n, np.int16)
+    seen, last = (a[:n] for a in _kept)
+    seen.fill(False)
+    return seen, last
+
+
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The best `width` rows of x that each query reaches from its entries (-1: none), and their cosines, best first.
 
     All queries take their steps together; a step opens the at_once best of a beam that aren't open yet.
     """
-    n = len(q)
-    seen = np.zeros((n, len(x) + 1), bool)
-    seen[:, -1] = True
+    n, wide = len(q), len(x) + 1
+    seen, last = _flags(n * wide)
+    seen[wide - 1 :: wide] = True
     rows = np.arange(n)[:, None]
     ids = np.full((n, width), -1)
     sims = np.full((n, width), -np.inf, np.float32)
     is_open = np.ones((n, width), bool)
 
     def add(at: np.ndarray, found: np.ndarray) -> None:
-        """Put the unseen of found (each row without repeats) into the beams of rows `at`."""
-        fresh = np.where(seen[at[:, None], found], -1, found)
-        # The same one twice in a row of found: only the first counts.
-        order = np.argsort(fresh, axis=1, kind="stable")
-        ranked = np.take_along_axis(fresh, order, 1)
-        twice = np.zeros(ranked.shape, bool)
-        twice[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
-        fresh = np.where(twice, -1, ranked)
-        seen[at[:, None], fresh] = True
-        sim = np.where(fresh < 0, -np.inf, _sims(x, fresh, q[at])).astype(np.float32)
-        all_ids, all_sims = np.concatenate([ids[at], fresh], 1), np.concatenate([sims[at], sim], 1)
-        all_open = np.concatenate([is_open[at], fresh < 0], 1)
+        """Put the unseen of found into the beams of rows `at`."""
+        place = (at[:, None] * wide + np.where(found < 0, wide - 1, found)).ravel()
+        fresh = np.flatnonzero(~seen[place])
+        place = place[fresh]
+        # The same one twice in a row of found: only one of them counts.
+        column = (fresh % found.shape[1]).astype(np.int16)
+        last[place] = column
+        one = last[place] == column
+        fresh, place = fresh[one], place[one]
+        if not len(fresh):
+            return
+        seen[place] = True
+        row = fresh // found.shape[1]
+        count = np.bincount(row, minlength=len(at))
+        new = place - at[row] * wide
+        column = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        more_ids, more_sims = np.full((len(at), count.max()), -1), np.full((len(at), count.max()), -np.inf, np.float32)
+        more_ids[row, column] = new
+        more_sims[row, column] = np.einsum("ij,ij->i", x[new], q[at[row]])
+        all_ids, all_sims = np.concatenate([ids[at], more_ids], 1), np.concatenate([sims[at], more_sims], 1)
+        all_open = np.concatenate([is_open[at], more_ids < 0], 1)
         best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         ids[at], sims[at], is_open[at] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_open))
 
@@ -179,7 +204,7 @@ class Graph:
         return beam_search(self.x, self.links[0], q, self._entries(q, 0), min(beam, len(self.x)))
 
     def audit(self, cosine: float) -> None:
-        """Double the beam until probes at the threshold's angle find what brute force finds; 0 means brute force."""
+        """Widen the beam until probes at the threshold's angle find what brute force finds; 0 means brute force."""
         rng = np.random.default_rng(SEED + 1)
         n = len(self.x)
         at = np.sort(rng.permutation(n)[: max(AUDIT_LEAST, n // AUDIT)])
@@ -198,7 +223,7 @@ class Graph:
             # Each probe's own recall counts as much as another's, so that large groups don't hide small ones.
             if not rest.any() or (found.sum() >= RECALL * all_.sum() and (found / all_).mean() >= RECALL):
                 return
-            self.beam = 0 if self.beam >= n else 2 * self.beam
+            self.beam = 0 if self.beam >= n else self.beam * 3 // 2
 
     def near(self, q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of q, row of x) of at least this cosine."""
@@ -235,47 +260,73 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
 
-def near_duplicates(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """(id, duplicate_of): each vector that another one stands for, the least id of its group."""
+def classes(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+    """(id, class_id, links) of every vector."""
     spark = rows.sparkSession
     scratch = common.Scratch(spark, "hnsw")
     held = vectors.clean(rows, ident, vector)
     held = scratch.write(held.where(F.exists("v", lambda x: x != 0)), "vectors")
     firsts = scratch.write(held.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "firsts")
+    count = firsts.count()
 
     def build(ids: np.ndarray, x: np.ndarray) -> bytes:
         g = Graph(ids, normalised(x))
         g.audit(cosine)
         return g.pack()
 
-    path = vectors.build_shards(firsts, vectors.shards_of(firsts.count(), shard), build, scratch, "shards")
+    path = vectors.build_shards(firsts, vectors.shards_of(count, shard), build, scratch, "shards")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        ids, x = t.column("id").to_numpy(), normalised(vectors.matrix(t.column("v")))
-        for a in vectors.read_shards(path):
-            g = Graph.unpack(a)
-            for i in range(0, len(ids), BATCH):
-                q, own = x[i : i + BATCH], ids[i : i + BATCH]
-                row, place = g.near(q, cosine)
-                verified = (q[row].astype(float) * g.x[place].astype(float)).sum(1) >= cosine
-                a, b = own[row[verified]], g.ids[place[verified]]
-                a, b = a[a != b], b[a != b]
-                if len(a):
-                    # A batch's links as stars, so that groups of thousands don't give millions.
-                    nodes, roots = local_roots(a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
-
-    pairs = firsts.repartition(common.partitions(spark), "id").mapInArrow(link, "a long, b long")
-    roots = scratch.write(components(pairs, scratch), "roots")
-    members = held.join(firsts.withColumnRenamed("id", "first"), "v").select("id", "first")
-    out = members.join(roots, members["first"] == roots["node"], "left").select("id", F.coalesce("root", "first").alias("root"))
-    return out.where("id <> root").select("id", F.col("root").alias("duplicate_of"))
+        for ids, x in vectors.blocks(batches, BLOCK):
+            x, links = normalised(x), np.zeros(len(ids), np.int64)
+            for a in vectors.read_shards(path):
+                g = Graph.unpack(a)
+                for i in range(0, len(ids), BATCH):
+                    q, own = x[i : i + BATCH], ids[i : i + BATCH]
+                    row, place = g.near(q, cosine)
+                    verified = (q[row].astype(float) * g.x[place].astype(float)).sum(1) >= cosine
+                    row, place = row[verified], place[verified]
+                    other = own[row] != g.ids[place]
+                    row, place = row[other], place[other]
+                    links[i : i + BATCH] += np.bincount(row, minlength=len(own))
+                    if len(row):
+                        # A batch's links as stars, so that groups of thousands don't give millions.
+                        nodes, roots = local_roots(own[row], g.ids[place])
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.nulls(len(nodes), pa.int64())], names=["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(links)], names=["a", "b", "links"])
+
+    tasks = max(common.partitions(spark), -(-count // TASK_VECTORS))
+    found = scratch.write(firsts.repartition(tasks, "id").mapInArrow(link, "a long, b long, links long"), "links")
+    scratch.drop("shards")
+    roots = scratch.write(components(found.where("b is not null").select("a", "b"), scratch), "roots")
+    counts = found.where("links is not null").select(F.col("a").alias("first"), "links")
+    members = held.join(firsts.withColumnRenamed("id", "first"), "v").select("id", "first").join(counts, "first")
+    out = members.join(roots, members["first"] == roots["node"], "left")
+    return out.select("id", F.coalesce("root", "first").alias("class_id"), "links")
+
+
+def near_duplicates(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+    """(id, duplicate_of): each vector that another one stands for, the least id of its class."""
+    return classes(rows, ident, vector, cosine, shard).where("id <> class_id").select("id", F.col("class_id").alias("duplicate_of"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every embedding that goes, with the one that stays for it."""
-    return near_duplicates(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    """Every embedding with its class and its number of links."""
+    return classes(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: Classes and links by all pairs; what the graphs find is the same where the audits leave nothing out.
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_sum([x * x for x in embedding]) > 0),
+distinct_v AS (SELECT min(vec_id) AS id, embedding FROM v GROUP BY embedding),
+near AS (
+  SELECT a.id AS x, b.id AS y FROM distinct_v a JOIN distinct_v b ON a.id <> b.id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {COSINE}),
+reached AS (SELECT id AS x, id AS y FROM distinct_v UNION SELECT r.x, n.y FROM reached r JOIN near n ON r.y = n.x),
+roots AS (SELECT x AS id, min(y) AS class_id FROM reached GROUP BY 1),
+counts AS (SELECT x AS id, count(*) AS links FROM near GROUP BY 1)
+SELECT v.vec_id, r.class_id, coalesce(c.links, 0) AS links
+FROM v JOIN distinct_v d USING (embedding) JOIN roots r ON r.id = d.id LEFT JOIN counts c ON c.id = d.id
+"""
