@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sahifa.functions import columns, spans, udfs
 
-ENDS = ("\n", "\r", "\r\n", "\u0085", " ", " ")
+ENDS = ("\n", "\r", "\r\n", chr(0x85), chr(0x2028), chr(0x2029))
 
 
 def test_snap_window_after_a_line_end(spark):
