@@ -2,8 +2,8 @@
 
 import pyarrow as pa
 
-from sahifa.functions.analyzer import KEPT_LENGTH, Analyzer, analyze
-from sahifa.operators.index import tokens_of
+from sahifa.functions.analyzer import KEPT_LENGTH, Analyzer, analyze, analyzer
+from sahifa.operators.index import postings_of, tokens_of
 from sahifa.sources.pieces import PIECE_BYTES, PIECE_ROWS, bounds
 
 TEXTS = [f"of the n{i} that {'the way ' * 40}" for i in range(6000)] + [None, "", "x " * PIECE_BYTES, "last"]
@@ -44,6 +44,14 @@ def test_tokens_come_a_piece_at_a_time(spark):
     assert len(out) > 3 and sorted(b.num_rows for b in out)[-2] < 0.3 * rows.num_rows
 
 
+def test_postings_come_a_piece_at_a_time(spark):
+    out = list(postings_of(Docs(spark))(iter([batch(["field", "rowid", "book_id", "item_id", "text"])])))
+    rows = pa.Table.from_batches(out)
+    want = [(i, term, *places) for i, text in enumerate(TEXTS) for term, places in analyzer().places(text).items()]
+    assert list(zip(*(rows[c].to_pylist() for c in ("rowid", "term", "offsets", "positions")))) == want
+    assert len(out) > 3 and max(b.num_rows for b in out) < 0.5 * rows.num_rows
+
+
 def test_long_tokens_are_not_kept():
     own, long = Analyzer(), "a" * (KEPT_LENGTH + 1)
     assert [t.term for t in own.tokens(f"{long} b")] == [long, "b"] and list(own.places(f"{long} b")) == [long, "b"]
