@@ -1,7 +1,13 @@
 """Python workers take a batch a piece at a time: what they hold doesn't follow the rows and texts of a batch."""
 
+import json
+
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.udf import UDFRegistration
 
+from sahifa.functions import spans, udfs
 from sahifa.functions.analyzer import KEPT_LENGTH, Analyzer, analyze, analyzer
 from sahifa.operators.index import postings_of, tokens_of
 from sahifa.sources.pieces import PIECE_BYTES, PIECE_ROWS, bounds
@@ -52,6 +58,44 @@ def test_postings_come_a_piece_at_a_time(spark):
     assert len(out) > 3 and max(b.num_rows for b in out) < 0.5 * rows.num_rows
 
 
+def _run(made, *columns):
+    """What a UDF makes of one batch: the sizes of its pieces, and the values."""
+    out = list(made.func(iter([columns if len(columns) > 1 else columns[0]])))
+    assert max(map(len, out)) < 0.5 * len(TEXTS)
+    return [x for piece in out for x in piece.to_pylist()]
+
+
+@pytest.mark.parametrize("function, literals, want", [
+    (udfs.normalized_spans, ("way", 2**31 - 1), lambda t: [{"start": s, "end": e} for s, e in spans.normalized_spans(t, "way", 2**31 - 1)]),
+    (udfs.highlight_analyzed, (["way"], "any", "<", ">", 9, None), lambda t: spans.highlight_analyzed(t, ["way"], "any", "<", ">", 9)),
+    (udfs.build_snippet, ('"of the" OR that',), lambda t: spans.build_snippet(t, '"of the" OR that')),
+])
+def test_functions_give_a_piece_at_a_time(spark, function, literals, want):
+    function(*[F.lit(None)] * (1 + len(literals)))
+    found = _run(function.made, pa.array(TEXTS), *(pa.array([x] * len(TEXTS)) for x in literals))
+    assert found == list(map(want, TEXTS))
+
+
+def test_sql_functions_give_a_piece_at_a_time(spark, monkeypatch):
+    made = {}
+    with monkeypatch.context() as m:
+        m.setattr(UDFRegistration, "register", lambda self, name, f, *_: made.__setitem__(name, f))
+        udfs.register_all(spark)
+    assert _run(made["ar_analyze_json"], pa.array(TEXTS)) == [json.dumps(analyze(t), ensure_ascii=False) for t in TEXTS]
+    want = [json.dumps([{"term": x.term, "position": x.position} for x in analyzer().tokens(t)], ensure_ascii=False) for t in TEXTS]
+    assert _run(made["ar_analyze_positions_json"], pa.array(TEXTS)) == want
+
+
+def test_functions_within_functions(spark):
+    udfs.register_all(spark)
+    rows = spark.createDataFrame([(t,) for t in TEXTS[-30:]], "t string").repartition(2)
+    found = rows.selectExpr("t", "ar_analyze_json(ar_analyze_json(t)) AS twice", "ar_analyze_positions_json(t) AS places", "ar_find_all_normalized_match_spans_json(t, 'way') AS way", "ar_find_all_normalized_match_spans_json(t, 'way', 2) AS two").collect()
+    for r in found:
+        assert r.twice == json.dumps(analyze(json.dumps(analyze(r.t), ensure_ascii=False)), ensure_ascii=False)
+        assert [len(json.loads(x)) for x in (r.way, r.two)] == [len(spans.normalized_spans(r.t, "way", n)) for n in (8, 2)]
+    assert rows.where("false").selectExpr("ar_analyze_json(t)").collect() == []
+
+
 def test_long_tokens_are_not_kept():
     own, long = Analyzer(), "a" * (KEPT_LENGTH + 1)
     assert [t.term for t in own.tokens(f"{long} b")] == [long, "b"] and list(own.places(f"{long} b")) == [long, "b"]
